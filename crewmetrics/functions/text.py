@@ -85,7 +85,8 @@ def lexicon_score(text: Column, positive: list[str], negative: list[str]) -> Col
         return F.struct((acc["n"] + 1).alias("n"), (acc["s"] + step).alias("s"))
 
     def finish(acc: Column) -> Column:
-        share = F.try_divide(acc["s"].cast("double"), acc["n"].cast("double"))
+        # greatest and least skip nulls, so "no words" has to become 0 before the clamp
+        share = F.coalesce(F.try_divide(acc["s"].cast("double"), acc["n"].cast("double")), F.lit(0.0))
         return F.least(F.lit(1.0), F.greatest(F.lit(-1.0), share))
 
     return F.coalesce(F.aggregate(clean_words(text), zero, add, finish), F.lit(0.0))

@@ -149,8 +149,9 @@ def recommend_courses(
         .scalar()
     )
     head = catalog.orderBy("ordinal").limit(limit)
-    first_rows = head.agg(F.sort_array(F.collect_list(F.struct("ordinal", entry.alias("c")))).alias("a")).scalar()
-    given = targets.withColumns({"_first": first_of, "_head": F.transform(first_rows, lambda r: r["c"])})
+    listed = F.sort_array(F.collect_list(F.struct("ordinal", entry.alias("c"))))
+    first_rows = head.agg(F.transform(listed, lambda r: r["c"]).alias("a")).scalar()
+    given = targets.withColumns({"_first": first_of, "_head": first_rows})
 
     def course(c: Column, reason: Column) -> Column:
         return F.struct(*[c[name].alias(name) for name in _COURSE], reason.alias("reason"))

@@ -34,8 +34,8 @@ def weighted_sentiment(df: DataFrame, key: str, text: str, lexicon: DataFrame |
     )
     hits = F.when(F.col("weight").isNotNull(), F.col("tf"))
     mean = F.try_divide(F.sum(F.col("weight") * F.col("tf")), F.sum(hits).cast("double"))
-    polarity = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), mean))
-    return matched.groupBy(key).agg(F.coalesce(polarity, F.lit(0.0)).alias("polarity"))
+    polarity = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.coalesce(mean, F.lit(0.0))))
+    return matched.groupBy(key).agg(polarity.alias("polarity"))
 
 
 def team_sentiment(responses: DataFrame, employees: DataFrame, score: str = "survey_sentiment") -> DataFrame:
