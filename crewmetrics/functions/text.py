@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from crewmetrics.plans.constants import bind
 
 _SPACE = r"(?U)[\s\x1c-\x1f]+"
-_EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+_NOT_SPACE = r"(?U)[^\s\x1c-\x1f]"
 _PUNCTUATION = r"(?U)[^\p{L}\p{N}_\s\x1c-\x1f]"
 _TERM = r"[\p{L}\p{N}_]{2,}"
 
@@ -29,7 +29,7 @@ def terms(text: Column) -> Column:
 
 
 def not_blank(text: Column) -> Column:
-    return text.isNotNull() & (F.regexp_replace(text, _EDGE_SPACE, "") != "")
+    return text.isNotNull() & text.rlike(_NOT_SPACE)
 
 
 def mentions_any(text: Column, keywords: list[str]) -> Column:

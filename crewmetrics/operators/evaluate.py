@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,25 +21,34 @@ def auc_exact(scored: DataFrame, score: str, label: str) -> DataFrame:
         .groupBy(F.col(score).cast("double").alias("_score"))
         .agg(F.sum(positive).alias("_pos"), F.sum(1 - positive).alias("_neg"))
     )
-    ranked = running_totals(counted, [F.col("_score")], by_value(counted, "_score"), {"_below": "_neg"})
+    ranked = running_totals(by_value(counted, "_score"), [F.col("_score")], {"_below": "_neg"})
     won = F.sum(F.col("_pos").cast("double") * (F.col("_below") + F.col("_neg") / 2.0))
     pairs = F.sum("_pos").cast("double") * F.sum("_neg").cast("double")
     return ranked.agg(F.try_divide(won, pairs).alias("auc"))
 
 
-def median(df: DataFrame, column: str) -> float | None:
-    """The exact median; values are counted first, so a frequent value is one row."""
-    counted = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("_v")).agg(
-        F.count("*").alias("_n")
-    )
+def medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
+    """Exact medians; values are counted first, so a frequent value is one row.
+
+    The list is a handful of features, each taking a few small jobs over the kept columns.
+    """
+    narrow = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return {c: _median(narrow, c) for c in columns}
+    finally:
+        narrow.unpersist()
+
+
+def _median(df: DataFrame, column: str) -> float | None:
+    counted = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
     n = counted.agg(F.sum("_n")).first()[0]
     if not n:
         return None
-    placed = running_totals(counted, [F.col("_v")], by_value(counted, "_v"), {"_before": "_n"})
+    placed = running_totals(by_value(counted, "_v"), [F.col("_v")], {"_before": "_n"})
+    last = F.col("_before") + F.col("_n")
     lower, upper = (n - 1) // 2, n // 2
-    covers = lambda at: (F.col("_before") <= at) & (F.col("_before") + F.col("_n") > at)
-    found = placed.where(covers(lower) | covers(upper)).agg(F.avg("_v")).first()
-    return found[0]
+    middle = ((F.col("_before") <= lower) & (last > lower)) | ((F.col("_before") <= upper) & (last > upper))
+    return placed.where(middle).agg(F.avg("_v")).first()[0]
 
 
 def classification_report(scored: DataFrame, label: str, predicted: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crewmetrics.operators.evaluate import median
+from crewmetrics.operators.evaluate import medians as exact_medians
 from crewmetrics.operators.model import LINEAR, AttritionModel, predict
 
 GROUP_ROWS = 4096
@@ -71,6 +71,9 @@ def drivers(
     high.  The list is no longer than the feature list, so it becomes part of the projection.
     """
     top = sorted(importance, key=lambda row: (-row["importance"], row["feature"]))[:n]
+    undirected = [row["feature"] for row in top if row.get("coefficient") is None]
+    if undirected and medians is None:
+        medians = exact_medians(features, undirected)
     entries = []
     for row in top:
         name = row["feature"]
@@ -78,8 +81,7 @@ def drivers(
         if row.get("coefficient") is not None:
             direction = F.lit("high" if row["coefficient"] > 0 else "low")
         else:
-            middle = medians[name] if medians else median(features, name)
-            direction = F.when(value > F.lit(middle), "high").otherwise("low")
+            direction = F.when(value > F.lit(medians[name]), "high").otherwise("low")
         entries.append(
             F.struct(
                 F.lit(name).alias("feature"),

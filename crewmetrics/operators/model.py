@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -140,6 +141,15 @@ def train(
     categorical = categorical or []
     numeric = numeric or numeric_columns(features, label, key)
     data = features.select(key, *numeric, *categorical, F.col(label).cast("double").alias(label))
+    # split, class counts, scaling, fitting and measuring all read these narrow rows
+    data = data.where(F.col(label).isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _train(data, kind, label, key, numeric, categorical, share, seed, evaluate)
+    finally:
+        data.unpersist()
+
+
+def _train(data, kind, label, key, numeric, categorical, share, seed, evaluate) -> AttritionModel:
     train_part, test_part = stratified_split(data, label, key, share, seed)
     counts = {int(r[0]): r[1] for r in train_part.groupBy(label).count().collect()}
     if set(counts) != {0, 1}:

@@ -103,7 +103,6 @@ class Themes:
     components: np.ndarray
     terms: list[str]
     vocab: DataFrame
-    how: tfidf.Terms
     losses: list[float] = field(default_factory=list)
 
     @property
@@ -154,22 +153,14 @@ def fit_themes(
     if not 1 <= n_themes <= MAX_THEMES:
         raise ValueError(f"n_themes must be between 1 and {MAX_THEMES}")
     vocab, vecs = tfidf.survey_terms(docs, [key], text, stop_words, max_features)
-    listed = vocab.orderBy("idx").collect()  # at most max_features rows
-    if not listed:
+    terms = [r.term for r in vocab.orderBy("idx").collect()]  # at most max_features rows
+    if not terms:
         raise ValueError("no term occurs in two texts")
-    # the vocabulary is fixed from here on: later passes must not derive it again
-    fixed = docs.sparkSession.createDataFrame(
-        [(r.idx, r.term, r.df, r.idf) for r in listed], "idx int, term string, df long, idf double"
-    )
-    stop = tfidf.english_stop_words() if stop_words is None else tuple(stop_words)
-    how = tfidf.Terms(stop, (1, 2))
-    spoken = docs.where(tfidf.tx.not_blank(F.col(text)))
-    vecs = tfidf.vectors(tfidf.term_rows(spoken, [key], text, how), fixed, [key])
     vecs = vecs.persist(StorageLevel.MEMORY_AND_DISK)
 
     size = vecs.agg(F.count("*").alias("n"), F.sum(F.aggregate("weights", F.lit(0.0), lambda a, w: a + w)).alias("s"))
     n, total = size.first()
-    k, width = min(n_themes, n), len(listed)
+    k, width = min(n_themes, n), len(terms)
     rng = np.random.default_rng(seed)
     h = np.abs(rng.normal(size=(k, width))) * np.sqrt((total or 0.0) / (n * width) / k)
     losses: list[float] = []
@@ -179,7 +170,7 @@ def fit_themes(
         if len(losses) > 1 and losses[-2] - loss <= tolerance * max(losses[0], 1e-12):
             break
         h = _improve(h, wx, ww)
-    return Themes(h, [r.term for r in listed], fixed, how, losses), vecs
+    return Themes(h, terms, vocab, losses), vecs
 
 
 def survey_themes(surveys: DataFrame, key: str, n_themes: int = 5, text: str = "free_text", **options) -> DataFrame:

@@ -2,49 +2,46 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 256
+RANGE_ROWS = 500_000
+MAX_RANGES = 65_536
 
 
-def by_value(df: DataFrame, order: str, ranges: int = RANGES) -> Column:
-    """Range number of a numeric column; bounds are ``ranges`` approximate quantiles.
+def by_value(df: DataFrame, order: str) -> DataFrame:
+    """Adds ``_range``, the range number of a numeric column, about ``RANGE_ROWS`` rows each.
 
-    The bounds only balance the ranges.  They are fixed literals afterwards, so every scan
-    of the plan, a retried task included, puts a row into the same range.
+    The range bounds are approximate quantiles and only balance the work.  They are fixed literals
+    afterwards, so every scan of the plan, a retried task included, puts a row into the same range.
     """
-    steps = [i / ranges for i in range(1, ranges)]
-    found = df.stat.approxQuantile(order, steps, 1.0 / (4 * ranges))
-    bounds = sorted(set(found))
-    if not bounds:
-        return F.lit(0)
-    cut = F.array(*[F.lit(b) for b in bounds])
-    value = F.col(order).cast("double")
-    # position of the first bound that is not below the value
-    return F.size(F.filter(cut, lambda b: b < value))
+    ranges = min(MAX_RANGES, df.count() // RANGE_ROWS + 1)
+    bounds = []
+    if ranges > 1:
+        steps = [i / ranges for i in range(1, ranges)]
+        bounds = sorted(set(df.stat.approxQuantile(order, steps, 1.0 / (4 * ranges))))
+    splits = [-float("inf"), *bounds, float("inf")]
+    if len(splits) < 3:
+        return df.withColumn("_range", F.lit(0))
+    return Bucketizer(splits=splits, inputCol=order, outputCol="_range").transform(df)
 
 
-def by_hash(*columns: str, bits: int = 12) -> Column:
-    """Range number of a hash order: the leading bits, balanced without looking at the data."""
-    return F.shiftrightunsigned(F.xxhash64(*columns), 64 - bits).cast("int")
+def by_hash(df: DataFrame, *columns: str, bits: int = 12) -> DataFrame:
+    """Adds ``_range`` for a hash order: the leading bits, balanced without looking at the data."""
+    return df.withColumn("_range", F.shiftrightunsigned(F.xxhash64(*columns), 64 - bits).cast("int"))
 
 
 def running_totals(
-    df: DataFrame,
-    order: list[Column],
-    ranges: Column,
-    sums: dict[str, str],
-    by: list[str] | None = None,
+    staged: DataFrame, order: list[Column], sums: dict[str, str], by: list[str] | None = None
 ) -> DataFrame:
     """Add, per name in ``sums``, the total of that column over all rows strictly before.
 
-    ``ranges`` must rise with ``order``, and ``order`` must be unique within ``by``.  Each range is sorted by its own
-    task; only one row per range (``RANGES`` or 2**bits of them, for each ``by`` group) meets
-    in the window that turns range totals into offsets.
+    ``staged`` has a ``_range`` (see ``by_value`` and ``by_hash``) that rises with ``order``, and
+    ``order`` must be unique within ``by``.  Each range is sorted by its own task; only one row per
+    range meets in the window that turns range totals into offsets.
     """
     by = by or []
-    staged = df.withColumn("_range", ranges)
     totals = staged.groupBy(*by, "_range").agg(
         *[F.sum(column).alias(f"_t_{name}") for name, column in sums.items()]
     )

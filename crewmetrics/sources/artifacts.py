@@ -23,12 +23,11 @@ def build_and_save(
     pieces = chunks(docs.where(tx.not_blank(F.col("text"))), size, overlap)
     pieces.write.mode("overwrite").parquet(f"{path}/chunks")
     pieces = spark.read.parquet(f"{path}/chunks")
-    tfidf.term_rows(pieces, CHUNK_KEY, "text").write.mode("overwrite").parquet(f"{path}/terms")
-    rows = spark.read.parquet(f"{path}/terms")
-    vocab = tfidf.vocabulary(rows, tfidf.count_of(pieces), max_features)
+    tfidf.term_arrays(pieces, CHUNK_KEY, "text").write.mode("overwrite").parquet(f"{path}/terms")
+    arrays = spark.read.parquet(f"{path}/terms")
+    vocab = tfidf.vocabulary(arrays, max_features)
     vocab.write.mode("overwrite").parquet(f"{path}/vocab")
-    vocab = spark.read.parquet(f"{path}/vocab")
-    tfidf.vectors(rows, vocab, CHUNK_KEY).write.mode("overwrite").parquet(f"{path}/vectors")
+    tfidf.vectors(arrays, vocab, CHUNK_KEY).write.mode("overwrite").parquet(f"{path}/vectors")
     _write_text(spark, {"dim": max_features}, f"{path}/meta")
     return load_index(spark, path)
 

@@ -61,8 +61,19 @@ def read_csv_matching(
     return reader.csv(folder)
 
 
-def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+def read_parquet(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, spread: bool = False
+) -> DataFrame:
+    """A parquet table.
+
+    ``spread=True`` is for text: its processing is bound by the processor, and a table written as
+    a few row groups would keep only as many cores busy.  The rows are then dealt to all cores; a
+    table with at least as many splits as cores is read as it is.
+    """
+    df = (spark.read.schema(schema) if schema else spark.read).parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    # a bare scan: counting its splits plans the files and runs nothing
+    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
 
 
 def read_documents(spark: SparkSession, folder: str, pattern: str = "*.txt", extract=None) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crewmetrics.functions.dates import iso_week
+from crewmetrics.sources.files import read_parquet
 
 AS_OF = date(2024, 2, 1)
 SALT = "check-salt"
@@ -50,7 +51,7 @@ PROJECTS = [
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return read_parquet(spark, f"{folder}/{name}.parquet", spread=name in ("documents", "conversations"))
 
 
 def _pick(values: list[str], position) -> F.Column:
