@@ -119,6 +119,6 @@ def explain_model(
         table = linear_importance(model, features.sparkSession)
     else:
         table = permutation_importance(model, features)
-    # as many rows as the model has inputs
-    importance = [row.asDict() for row in table.collect() if row["feature"] in features.columns]
+    # as many rows as the model has inputs; a driver has a number as its value
+    importance = [row.asDict() for row in table.collect() if row["feature"] in model.numeric]
     return explain(predict(model, features, ids), drivers(features, importance, key=model.key), model.key)
