@@ -83,8 +83,10 @@ def read_documents(spark: SparkSession, folder: str, pattern: str = "*.txt", ext
     text and runs in the tasks, file by file.
     """
     if extract is None:
-        files = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(folder)
-        docs = files.select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("text"))
+        files = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True)
+        # the metadata path is percent-encoded, with "+" standing for itself
+        path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+        docs = files.select(path.alias("source"), F.col("value").alias("text"))
     else:
 
         def texts(batches):
