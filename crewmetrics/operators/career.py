@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from crewmetrics import reference as ref
 from crewmetrics.operators.features import skill_levels
 from crewmetrics.plans.constants import bind, constant
+from crewmetrics.plans.sizes import small_side
 from crewmetrics.schemas import require
 
 COURSE_LIMIT = 4
@@ -183,7 +184,8 @@ def recommend_mentors(
     ranked = employees.withColumn("_rank", rank)
     own = ranked.where(F.col("practice").isNotNull()).groupBy("practice").agg(F.array(*above).alias("_own"))
     anyone = ranked.agg(F.array(*above).alias("a")).scalar()
-    joined = ranked.join(own, "practice", "left").withColumn("_any", anyone)
+    # employees have few practices and would meet in as few tasks: move the candidates instead
+    joined = ranked.join(small_side(own), "practice", "left").withColumn("_any", anyone)
     pick = F.coalesce(F.get("_own", F.col("_rank")), F.get("_any", F.col("_rank")))
     joined = joined.withColumn("_m", pick)
     mentor = F.struct(

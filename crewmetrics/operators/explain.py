@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crewmetrics.operators.evaluate import medians as exact_medians
-from crewmetrics.operators.model import LINEAR, AttritionModel, predict
+from crewmetrics.operators.model import LINEAR, AttritionModel, scored
+from crewmetrics.operators.selection import among
 
 GROUP_ROWS = 4096
 
@@ -57,14 +58,10 @@ def permutation_importance(
     )
 
 
-def drivers(
-    features: DataFrame,
-    importance: list[dict],
-    n: int = 5,
-    key: str = "employee_id",
-    medians: dict[str, float] | None = None,
-) -> DataFrame:
-    """(key, drivers): for each person the ``n`` most important features with value and direction.
+def driver_array(
+    features: DataFrame, importance: list[dict], n: int = 5, medians: dict[str, float] | None = None
+) -> Column:
+    """For each person the ``n`` most important features with value, direction and words.
 
     ``importance`` is a list of rows ``feature``, ``importance`` and, for a linear model,
     ``coefficient``: its sign is the direction.  Without coefficients a value above the median is
@@ -90,7 +87,7 @@ def drivers(
                 F.concat(direction, F.lit(" " + name.replace("_", " "))).alias("description"),
             )
         )
-    return features.select(key, F.array(*entries).alias("drivers"))
+    return F.array(*entries)
 
 
 def risk_level(risk: Column) -> Column:
@@ -98,27 +95,35 @@ def risk_level(risk: Column) -> Column:
     return F.when(risk > 0.7, "high").when(risk > 0.3, "medium").otherwise("low")
 
 
-def explain(scores: DataFrame, person_drivers: DataFrame, key: str = "employee_id", shown: int = 3) -> DataFrame:
-    """(key, attrition_risk, risk_level, top_drivers) for every scored person."""
-    joined = scores.join(person_drivers, key)
-    return joined.select(
+def explain(
+    people: DataFrame,
+    importance: list[dict],
+    key: str = "employee_id",
+    shown: int = 3,
+    medians: dict[str, float] | None = None,
+) -> DataFrame:
+    """(key, attrition_risk, risk_level, top_drivers) of rows that hold their score and features."""
+    return people.select(
         key,
         "attrition_risk",
         risk_level(F.col("attrition_risk")).alias("risk_level"),
-        F.slice("drivers", 1, shown).alias("top_drivers"),
+        F.slice(driver_array(people, importance, medians=medians), 1, shown).alias("top_drivers"),
     )
 
 
 def explain_model(
     model: AttritionModel, features: DataFrame, ids: DataFrame | list | None = None, method: str = "auto"
 ) -> DataFrame:
-    """Explanations from a trained model; ``method`` is ``lr``, ``permutation`` or ``auto``."""
+    """Explanations from a trained model; ``method`` is ``lr``, ``permutation`` or ``auto``.
+
+    Medians are those of all people, also when only some are explained.
+    """
     if method == "auto":
         method = "lr" if model.kind == LINEAR else "permutation"
-    if method == "lr" and model.kind == LINEAR:
-        table = linear_importance(model, features.sparkSession)
-    else:
-        table = permutation_importance(model, features)
+    linear = method == "lr" and model.kind == LINEAR
+    table = linear_importance(model, features.sparkSession) if linear else permutation_importance(model, features)
     # as many rows as the model has inputs; a driver has a number as its value
     importance = [row.asDict() for row in table.collect() if row["feature"] in model.numeric]
-    return explain(predict(model, features, ids), drivers(features, importance, key=model.key), model.key)
+    medians = None if linear else exact_medians(features, model.numeric)
+    chosen = among(features, model.key, ids).select(model.key, *model.inputs)
+    return explain(scored(model, chosen), importance, model.key, medians=medians)

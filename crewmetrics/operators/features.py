@@ -102,7 +102,7 @@ def pto_spike(timesheets: DataFrame, baseline: float = BASELINE_HOURS, share: fl
 
 
 def internal_moves(
-    history: DataFrame, ts: str = "changed_at", role: str = "role", tie: str | None = None, span: str = "month"
+    history: DataFrame, ts: str = "changed_at", role: str = "role", tie: str | None = None, span: str = "day"
 ) -> DataFrame:
     """Role changes per employee in a history table.
 

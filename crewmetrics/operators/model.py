@@ -175,20 +175,21 @@ def _train(data, kind, label, key, numeric, categorical, share, seed, evaluate)
         stages.append(GBTClassifier(**shared, seed=seed))
     model = AttritionModel(Pipeline(stages=stages).fit(weighted), kind, numeric, categorical, {}, label, key)
     if evaluate:
-        scored = _scored(model, test_part).select(label, "prediction", "attrition_risk")
-        report = classification_report(scored, label, "prediction").collect()  # one row per class + 3
+        tested = scored(model, test_part).select(label, "prediction", "attrition_risk")
+        report = classification_report(tested, label, "prediction").collect()  # one row per class + 3
         model.metrics = {
-            "auc": auc_exact(scored, "attrition_risk", label).first()[0],
+            "auc": auc_exact(tested, "attrition_risk", label).first()[0],
             "classification_report": {r["name"]: r.asDict() for r in report},
         }
     return model
 
 
-def _scored(model: AttritionModel, df: DataFrame) -> DataFrame:
+def scored(model: AttritionModel, df: DataFrame) -> DataFrame:
+    """``df`` with the model's columns and ``attrition_risk``."""
     return model.pipeline.transform(df).withColumn("attrition_risk", vector_to_array("probability")[1])
 
 
 def predict(model: AttritionModel, features: DataFrame, ids: DataFrame | list | None = None) -> DataFrame:
     """(key, attrition_risk) for all people or the listed ones."""
     chosen = among(features, model.key, ids).select(model.key, *model.inputs)
-    return _scored(model, chosen).select(model.key, "attrition_risk")
+    return scored(model, chosen).select(model.key, "attrition_risk")

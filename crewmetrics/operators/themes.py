@@ -152,14 +152,16 @@ def fit_themes(
     """Fit themes; returns them with the vectors they were fitted on (kept in storage)."""
     if not 1 <= n_themes <= MAX_THEMES:
         raise ValueError(f"n_themes must be between 1 and {MAX_THEMES}")
-    vocab, vecs = tfidf.survey_terms(docs, [key], text, stop_words, max_features)
-    terms = [r.term for r in vocab.orderBy("idx").collect()]  # at most max_features rows
+    corpus = tfidf.survey_terms(docs, [key], text, stop_words, max_features)
+    terms = [r.term for r in corpus.vocab.orderBy("idx").collect()]  # at most max_features rows
     if not terms:
+        corpus.release()
         raise ValueError("no term occurs in two texts")
-    vecs = vecs.persist(StorageLevel.MEMORY_AND_DISK)
+    vecs = corpus.vectors.persist(StorageLevel.MEMORY_AND_DISK)
 
     size = vecs.agg(F.count("*").alias("n"), F.sum(F.aggregate("weights", F.lit(0.0), lambda a, w: a + w)).alias("s"))
     n, total = size.first()
+    corpus.release()
     k, width = min(n_themes, n), len(terms)
     rng = np.random.default_rng(seed)
     h = np.abs(rng.normal(size=(k, width))) * np.sqrt((total or 0.0) / (n * width) / k)
@@ -170,7 +172,7 @@ def fit_themes(
         if len(losses) > 1 and losses[-2] - loss <= tolerance * max(losses[0], 1e-12):
             break
         h = _improve(h, wx, ww)
-    return Themes(h, terms, vocab, losses), vecs
+    return Themes(h, terms, corpus.vocab, losses), vecs
 
 
 def survey_themes(surveys: DataFrame, key: str, n_themes: int = 5, text: str = "free_text", **options) -> DataFrame:

@@ -1,0 +1,76 @@
+import shutil
+from datetime import date
+
+import pytest
+from pyspark.sql import functions as F
+
+from crewmetrics import jobs
+from crewmetrics.sources import ingest
+from tests.conftest import REFERENCE_DATA
+
+
+@pytest.fixture(scope="module")
+def home(spark, tmp_path_factory):
+    source, home = tmp_path_factory.mktemp("in"), str(tmp_path_factory.mktemp("home"))
+    names = {"employess": "employees", "survey": "surveys", "datasheet": "timesheets", "skills": "skills", "catalog": "ld_catalog"}
+    for name, table in names.items():
+        shutil.copy(f"{REFERENCE_DATA}/{name}.csv", source / f"{table}.csv")
+    assert ingest.ingest(spark, str(source), home, "s").where("status = 'created'").count() == 5
+    return home
+
+
+def test_features_and_team_risk(spark, home, tmp_path):
+    built, teams = jobs.build_features(spark, home, date(2025, 5, 10), compat=True)
+    assert built.count() == 10 and built.where("employee_id like 'H\\\\_%'").count() == 10
+    got = {r.team: round(r.avg_risk, 6) for r in teams.collect()}
+    assert got == {"AI": 0.403889, "Cloud": 0.3775, "Data": 0.398833}
+    jobs.export_team_risk(spark, home, str(tmp_path / "csv"))
+    assert spark.read.csv(str(tmp_path / "csv"), header=True).count() == 3
+
+
+def test_model_needs_features_and_training(spark, home, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        jobs.train_model(spark, str(tmp_path))
+    with pytest.raises(FileNotFoundError):
+        jobs.predict_attrition(spark, home)
+
+
+def test_model_jobs(spark, tmp_path):
+    home = str(tmp_path)
+    rows = spark.range(200).select(
+        F.concat(F.lit("e"), F.col("id").cast("string")).alias("employee_id"), (F.col("id") % 17).cast("double").alias("x"),
+        F.when(F.col("id") % 17 > 8, 1).otherwise(0).alias("left_company"),
+    )
+    rows.write.parquet(f"{home}/{jobs.FEATURES}")
+    trained = jobs.train_model(spark, home)
+    assert trained.metrics["auc"] == 1.0
+    assert jobs.predict_attrition(spark, home, ids=["e16"]).first().attrition_risk > 0.5
+    told = jobs.explain_attrition(spark, home, ids=["e16"]).first()
+    assert told.top_drivers[0].description == "high x"
+
+
+def test_career_job(spark, home, tmp_path):
+    plans = jobs.career_plans(spark, home, str(tmp_path / "plans"))
+    assert plans.count() == 10 and plans.where("target_role = 'Senior Data Engineer'").count() == 4
+
+
+def test_index_job(spark, tmp_path):
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    assert jobs.index_folder(spark, str(docs), str(tmp_path)) is None
+    (docs / "leave.txt").write_text("Parental leave lasts twenty weeks.")
+    (docs / "travel.txt").write_text("Travel is booked by the office.")
+    jobs.index_folder(spark, str(docs), str(tmp_path))
+    asked = spark.createDataFrame([(1, "parental leave")], "query_id long, question string")
+    prompt = jobs.question_prompts(spark, str(tmp_path), asked, k=1).first().prompt
+    assert "Title: leave" in prompt and "travel" not in prompt
+
+
+def test_batch_job(spark, sample, tmp_path):
+    args = [sample[t] for t in ("employees", "surveys", "timesheets", "skills")]
+    for at in ("2025-05-10 08:00:00", "2025-05-11 08:00:00"):
+        teams, saved = jobs.batch(*args, str(tmp_path), as_of=date(2025, 5, 10), created_at=F.lit(at))
+    assert saved.count() == 10 and saved.select("created_at").distinct().count() == 1
+    assert {r.team: r.avg_risk for r in teams.collect()} == {"AI": 0.38, "Cloud": 0.35, "Data": 0.40}
+    assert spark.read.json(str(tmp_path / "next_steps_json")).count() == 10
+    assert spark.read.csv(str(tmp_path / "saved_rows_csv"), header=True).count() == 10

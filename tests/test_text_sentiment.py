@@ -120,7 +120,9 @@ def test_team_sentiment_counts_scored_only(spark):
 def test_tfidf_against_plain_python(spark):
     texts = ["red red blue", "blue green the", "red green green red", "blue", "zz 1 !"]
     docs = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
-    vocab, vecs = tfidf.tfidf(docs, ["id"], "t", tfidf.Terms(("the",), (1, 1)), 3, 2)
+    corpus = tfidf.tfidf(docs, ["id"], "t", tfidf.Terms(("the",), (1, 1)), 3, 2)
+    vocab, vecs = corpus.vocab, corpus.vectors
+    corpus.release()
     df = {"red": 2, "blue": 3, "green": 2}
     assert {r.term: r.df for r in vocab.collect()} == df
     got = {}
@@ -135,5 +137,5 @@ def test_tfidf_against_plain_python(spark):
 
 def test_top_terms_tie_by_name(spark):
     docs = spark.createDataFrame([(1, "bb aa cc"), (2, "bb aa cc")], "id int, t string")
-    vocab, _ = tfidf.tfidf(docs, ["id"], "t", max_features=2)
+    vocab = tfidf.tfidf(docs, ["id"], "t", max_features=2).vocab
     assert [(r.idx, r.term) for r in vocab.collect()] == [(0, "aa"), (1, "bb")]

@@ -268,8 +268,8 @@ def keyword_mentions(s, d):
 
 
 def tfidf_terms(s, d):
-    vocab, vecs = tfidf.survey_terms(a.surveys(s, d), ["response_id"], "free_text", a.STOP_WORDS)
-    return r6(tfidf.weights(vecs, vocab, ["response_id"]))
+    corpus = tfidf.survey_terms(a.surveys(s, d), ["response_id"], "free_text", a.STOP_WORDS)
+    return r6(tfidf.weights(corpus.vectors, corpus.vocab, ["response_id"]))
 
 
 def theme_summary(s, d):
@@ -337,9 +337,8 @@ def stratified_split(s, d):
 
 
 def explain_levels(s, d):
-    rows = features.risk_score(_features(s, d))
-    scores = rows.select("employee_id", F.col("risk_score").alias("attrition_risk"))
-    made = explain.explain(scores, explain.drivers(rows, IMPORTANCE))
+    rows = features.risk_score(_features(s, d)).withColumnRenamed("risk_score", "attrition_risk")
+    made = explain.explain(rows, IMPORTANCE)
     described = F.array_join(F.transform("top_drivers", lambda x: x["description"]), ", ")
     return r6(made.select("employee_id", "attrition_risk", "risk_level", described.alias("drivers")))
 
