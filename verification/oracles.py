@@ -144,7 +144,8 @@ SELECT {_r('(sum(k) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (coun
     "classification_report": f"""WITH x AS (SELECT quality AS y, CAST(n_chars >= 700 AS INTEGER) AS p FROM labels JOIN documents USING (doc_id)),
 c AS (SELECT k, count(*) FILTER (WHERE y = k AND p = k) AS t, count(*) FILTER (WHERE p = k) AS q, count(*) FILTER (WHERE y = k) AS s
   FROM x, (SELECT unnest([0, 1]) AS k) GROUP BY k),
-m AS (SELECT k, s, t, t / q::DOUBLE AS pr, t / s::DOUBLE AS re, 2.0 * (t / q::DOUBLE) * (t / s::DOUBLE) / (t / q::DOUBLE + t / s::DOUBLE) AS f FROM c)
+p AS (SELECT k, s, t, coalesce(t / nullif(q, 0)::DOUBLE, 0) AS pr, coalesce(t / nullif(s, 0)::DOUBLE, 0) AS re FROM c),
+m AS (SELECT *, coalesce(2.0 * pr * re / nullif(pr + re, 0), 0) AS f FROM p)
 SELECT name, {_r6('precision', 'recall', 'f1')}, support FROM (
   SELECT CAST(k AS VARCHAR) AS name, pr AS precision, re AS recall, f AS f1, CAST(s AS BIGINT) AS support FROM m UNION ALL
   SELECT 'accuracy', sum(t) / sum(s), sum(t) / sum(s), sum(t) / sum(s), CAST(sum(s) AS BIGINT) FROM m UNION ALL
