@@ -3,9 +3,8 @@
 Scale notes
 * every side table is reduced by one ``groupBy(employee_id)`` with map-side partial sums, so
   a single employee with a third of all rows reaches the shuffle as one row per map task;
-* a rate that has to stand on every row is joined back from that aggregate (an equi join that
-  adaptive execution broadcasts when small and splits when one key is hot), not computed in a
-  window that would put one employee's rows into one task.
+* a rate that has to stand on every row goes back to the rows by ``plans.skew.attach_groups``,
+  not by a window that would put one employee's rows into one task.
 """
 
 from __future__ import annotations
@@ -18,18 +17,13 @@ from pyspark.sql import functions as F
 from crewmetrics import reference as ref
 from crewmetrics.functions import text as tx
 from crewmetrics.plans.constants import constant
+from crewmetrics.plans.skew import attach_groups
 from crewmetrics.schemas import has, require
 
 BASELINE_HOURS = 40.0
 _WIDE_LIMIT = 64
 
 
-def attach(df: DataFrame, keys: list[str], **rates: Column) -> DataFrame:
-    """Put group aggregates on every row of the group; rows with a null key get null."""
-    stats = df.groupBy(*keys).agg(*[rate.alias(name) for name, rate in rates.items()])
-    return df.join(stats, keys, "left").select(*[df[c] for c in df.columns], *rates)
-
-
 # --------------------------------------------------------------------------- row features
 
 
@@ -48,33 +42,29 @@ def rating_on_unit_scale(rating: Column, low: float = 1.0, high: float = 5.0) ->
     return 2.0 * (rating - low) / (high - low) - 1.0
 
 
-def sentiment_expr(df: DataFrame, positive: list[str], negative: list[str]) -> dict[str, Column]:
-    """The sentiment columns the table's own columns allow."""
+def sentiment_columns(
+    df: DataFrame,
+    positive: list[str] = ref.POSITIVE_WORDS,
+    negative: list[str] = ref.NEGATIVE_WORDS,
+) -> dict[str, Column]:
+    """The sentiment columns that the table's own columns allow."""
     score = tx.lexicon_score(F.col("free_text"), positive, negative) if has(df, "free_text") else F.lit(0.0)
-    columns = {"sentiment_score": score}
-    if has(df, "rating"):
-        columns["normalized_rating"] = rating_on_unit_scale(F.col("rating"))
-    return columns
+    if not has(df, "rating"):
+        return {"sentiment_score": score, "survey_sentiment": score}
+    rating = rating_on_unit_scale(F.col("rating"))
+    return {"sentiment_score": score, "normalized_rating": rating, "survey_sentiment": (score + rating) / 2.0}
 
 
-def survey_sentiment(
-    surveys: DataFrame,
-    positive: list[str] = ref.POSITIVE_WORDS,
-    negative: list[str] = ref.NEGATIVE_WORDS,
-) -> DataFrame:
+def survey_sentiment(surveys: DataFrame, **lexicon) -> DataFrame:
     """Text score averaged with the rating on [-1, 1]; the score alone where no rating column is."""
-    scored = surveys.withColumns(sentiment_expr(surveys, positive, negative))
-    if has(scored, "normalized_rating"):
-        combined = (F.col("sentiment_score") + F.col("normalized_rating")) / 2.0
-    else:
-        combined = F.col("sentiment_score")
-    return scored.withColumn("survey_sentiment", combined)
+    return surveys.withColumns(sentiment_columns(surveys, **lexicon))
 
 
 def monthly_sentiment(surveys: DataFrame, **lexicon) -> DataFrame:
     """Mean sentiment of the employee's month on every response."""
-    scored = surveys if has(surveys, "survey_sentiment") else survey_sentiment(surveys, **lexicon)
-    return attach(scored, ["employee_id", "month"], avg_monthly_sentiment=F.avg("survey_sentiment"))
+    scores = {} if has(surveys, "survey_sentiment") else sentiment_columns(surveys, **lexicon)
+    means = {"avg_monthly_sentiment": F.avg("survey_sentiment")}
+    return attach_groups(surveys, ["employee_id", "month"], means, scores)
 
 
 def workload_ratio(timesheets: DataFrame, baseline: float = BASELINE_HOURS) -> DataFrame:
@@ -87,8 +77,8 @@ def _mention(keywords: list[str]) -> Column:
 
 def one_on_one_cadence(surveys: DataFrame, keywords: list[str] = ref.MEETING_KEYWORDS) -> DataFrame:
     """Share of the employee's responses that mention a meeting with the manager."""
-    marked = surveys.withColumn("manager_meeting_mention", _mention(keywords))
-    return attach(marked, ["employee_id"], manager_1on1_cadence=F.avg("manager_meeting_mention"))
+    mention = {"manager_meeting_mention": _mention(keywords)}
+    return attach_groups(surveys, ["employee_id"], {"manager_1on1_cadence": F.avg("manager_meeting_mention")}, mention)
 
 
 def _short_week(baseline: float, share: float) -> Column:
@@ -97,8 +87,8 @@ def _short_week(baseline: float, share: float) -> Column:
 
 def pto_spike(timesheets: DataFrame, baseline: float = BASELINE_HOURS, share: float = 0.5) -> DataFrame:
     """Flag weeks below half the baseline and attach the employee's rate; null hours count as 0."""
-    flagged = timesheets.withColumn("pto_spike", _short_week(baseline, share))
-    return attach(flagged, ["employee_id"], pto_spike_rate=F.avg("pto_spike"))
+    flag = {"pto_spike": _short_week(baseline, share)}
+    return attach_groups(timesheets, ["employee_id"], {"pto_spike_rate": F.avg("pto_spike")}, flag)
 
 
 def internal_moves(
@@ -252,7 +242,7 @@ def survey_means(
     keywords: list[str] = ref.MEETING_KEYWORDS,
 ) -> DataFrame:
     return (
-        survey_sentiment(surveys.where(F.col("employee_id").isNotNull()), positive, negative)
+        survey_sentiment(surveys.where(F.col("employee_id").isNotNull()), positive=positive, negative=negative)
         .groupBy("employee_id")
         .agg(
             F.avg("survey_sentiment").alias("survey_sentiment"),

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from crewmetrics import reference as ref
 from crewmetrics.operators import career
+from crewmetrics.plans import sizes
 
 GOLDEN = {
     "E_1001": ("Senior Data Engineer", 0.866667, "C401 C501 C1001 C901", "E_1503", "Data Visualization Dashboard"),
@@ -18,7 +19,9 @@ GOLDEN = {
 }
 
 
-def test_plan_goldens(sample):
+@pytest.mark.parametrize("small", [1000, 0])
+def test_plan_goldens(sample, small, monkeypatch):
+    monkeypatch.setattr(sizes, "SMALL_ROWS", small)
     plans = career.career_plans(sample["employees"], sample["skills"], sample["ld_catalog"]).collect()
     assert len(plans) == 10
     for p in plans:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from crewmetrics import reference as ref
 from crewmetrics.operators import batch_risk, career, features, next_steps, retrieval, risk, selection
+from crewmetrics.plans import skew
 from verification import adapters as a
 from verification import queries as q
 
@@ -68,9 +69,15 @@ def hot_employee(spark, rows=30_000):
     return spark.range(rows).select(ids.alias("employee_id"), (F.col("id") % 61).cast("double").alias("hours"), F.col("id").alias("n"))
 
 
-def test_rates_of_a_hot_employee(spark):
-    sheets = hot_employee(spark).drop("n")
+@pytest.mark.parametrize("hot_keys", [2, 10_000])
+def test_rates_of_a_hot_employee(spark, hot_keys, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_KEYS", hot_keys)
+    sheets = hot_employee(spark).drop("n").unionByName(spark.sql("SELECT CAST(NULL AS STRING) AS employee_id, 1.0D AS hours"))
     got = features.pto_spike(sheets)
+    assert got.where("employee_id IS NULL").first().pto_spike_rate is None
+    exact = sheets.groupBy("employee_id").agg(F.avg((F.col("hours") < 20).cast("int")).alias("r")).join(got, "employee_id")
+    assert exact.count() == 30_000 and exact.where("abs(r - pto_spike_rate) > 1e-12").isEmpty()
+    got = got.where("employee_id IS NOT NULL")
     assert got.count() == 30_000
     rate = got.where("employee_id = 'hot'").select("pto_spike_rate").distinct().collect()
     plain = sheets.where("employee_id = 'hot'").agg(F.avg((F.col("hours") < 20).cast("int"))).first()[0]
@@ -109,3 +116,8 @@ def test_drilldown_to_persons(spark):
     rows = features.risk_score(features.employee_features(a.employees(spark, DIR), a.skills(spark, DIR), as_of=date(2024, 2, 1)))
     levels = {r.level: r["count"] for r in risk.risk_drilldown(rows, ("practice", "role", "employee_id")).groupBy("level").count().collect()}
     assert levels[3] == rows.count() and levels[0] == 1
+
+
+def test_hot_rows_are_not_shuffled(spark):
+    text = plan(features.pto_spike(hot_employee(spark).drop("n"))).split("\n\n")[0]
+    assert "BroadcastHashJoin" in text and "Window" not in text
