@@ -1,0 +1,104 @@
+"""Sample rows for the hand-computed golden values, as CSV text.
+
+Each file starts with a comment line before its header; readers have to skip it.
+"""
+
+# ---- fixed values: the golden results in the tests were computed from exactly these rows
+EMPLOYEES = """# sample
+employee_id,role,practice,tenure_weeks,manager_id,seniority,left_company
+E_1001,Data Engineer,Cloud,104,M_42,Mid,0
+E_1002,ML Engineer,AI,60,M_11,Junior,0
+E_1042,Data Engineer,Data,180,M_09,Mid,0
+E_1111,Analyst,Data,38,M_22,Junior,1
+E_1205,Data Engineer,Cloud,78,M_42,Mid,0
+E_1308,ML Engineer,AI,45,M_11,Junior,0
+E_1402,Analyst,Data,92,M_22,Junior,0
+E_1503,Data Engineer,Data,156,M_09,Senior,0
+E_1607,ML Engineer,AI,120,M_11,Senior,0
+E_1704,Analyst,Data,65,M_22,Junior,0
+"""
+
+SURVEYS = """# sample
+employee_id,month,free_text,rating
+E_1001,2025-05,"Workload is high but manageable",4
+E_1042,2025-05,"Lack of recognition lately",2
+E_1111,2025-05,"Manager rarely meets with me",2
+E_1205,2025-05,"Great team collaboration",5
+E_1308,2025-05,"Challenging projects but good learning",4
+E_1402,2025-05,"Not enough growth opportunities",3
+E_1503,2025-05,"Good work-life balance",4
+E_1607,2025-05,"Too many meetings, not enough coding time",3
+E_1704,2025-05,"Supportive manager",4
+E_1001,2025-04,"Feeling burned out",2
+E_1042,2025-04,"Interesting projects",4
+E_1111,2025-04,"Lack of direction from manager",2
+"""
+
+TIMESHEETS = """# sample
+employee_id,week,hours
+E_1001,2025-W18,52
+E_1042,2025-W18,44
+E_1111,2025-W18,60
+E_1205,2025-W18,40
+E_1308,2025-W18,48
+E_1402,2025-W18,42
+E_1503,2025-W18,38
+E_1607,2025-W18,55
+E_1704,2025-W18,41
+E_1001,2025-W17,50
+E_1042,2025-W17,43
+E_1111,2025-W17,58
+"""
+
+SKILLS = """# sample
+employee_id,skill,level
+E_1001,Snowflake,2
+E_1001,dbt,2
+E_1042,Snowflake,1
+E_1042,Airflow,3
+E_1111,SQL,2
+E_1205,Python,3
+E_1205,SQL,3
+E_1308,Python,2
+E_1308,TensorFlow,2
+E_1402,SQL,3
+E_1402,Tableau,2
+E_1503,Python,3
+E_1503,SQL,4
+E_1503,Airflow,3
+E_1607,Python,4
+E_1607,TensorFlow,3
+E_1607,PyTorch,2
+E_1704,SQL,3
+E_1704,Excel,3
+"""
+
+LD_CATALOG = """# sample
+course_id,title,skill,provider
+C101,Snowflake Performance Deep Dive,Snowflake,Internal
+C201,Advanced dbt: Testing & CI,dbt,Internal
+C301,Effective 1:1s,Management,External
+C401,Python Advanced Programming,Python,Internal
+C501,SQL for Data Analysis,SQL,Internal
+C601,Machine Learning Fundamentals,Machine Learning,External
+C701,Data Visualization with Tableau,Tableau,Internal
+C801,Leadership Training,Leadership,External
+C901,Cloud Computing Fundamentals,Cloud,External
+C1001,ETL Best Practices,ETL,Internal
+"""
+# ---- end of fixed values
+
+FILES = {
+    "employees": EMPLOYEES,
+    "surveys": SURVEYS,
+    "timesheets": TIMESHEETS,
+    "skills": SKILLS,
+    "ld_catalog": LD_CATALOG,
+}
+
+
+def write(folder, *tables: str) -> str:
+    """Write the named tables (all by default) as ``<table>.csv`` below ``folder``."""
+    for table in tables or FILES:
+        (folder / f"{table}.csv").write_text(FILES[table])
+    return str(folder)

@@ -1,4 +1,3 @@
-import shutil
 from datetime import date
 
 import pytest
@@ -6,15 +5,13 @@ from pyspark.sql import functions as F
 
 from crewmetrics import jobs
 from crewmetrics.sources import ingest
-from tests.conftest import REFERENCE_DATA
+from tests.sample import write
 
 
 @pytest.fixture(scope="module")
 def home(spark, tmp_path_factory):
     source, home = tmp_path_factory.mktemp("in"), str(tmp_path_factory.mktemp("home"))
-    names = {"employess": "employees", "survey": "surveys", "datasheet": "timesheets", "skills": "skills", "catalog": "ld_catalog"}
-    for name, table in names.items():
-        shutil.copy(f"{REFERENCE_DATA}/{name}.csv", source / f"{table}.csv")
+    write(source)
     assert ingest.ingest(spark, str(source), home, "s").where("status = 'created'").count() == 5
     return home
 

@@ -1,6 +1,5 @@
 import gzip
 import json
-import shutil
 from datetime import date
 
 import pytest
@@ -10,7 +9,7 @@ from crewmetrics import schemas
 from crewmetrics.functions.masking import hash_id
 from crewmetrics.operators import batch_risk, next_steps, selection
 from crewmetrics.sources import files, ingest, snapshots, tables
-from tests.conftest import REFERENCE_DATA
+from tests.sample import write
 
 
 @pytest.fixture(scope="module")
@@ -107,8 +106,7 @@ def test_selection(spark, sample):
 def test_ingest(spark, tmp_path):
     source, target = tmp_path / "in", str(tmp_path / "out")
     source.mkdir()
-    for name, table in (("employess.csv", "employees"), ("survey.csv", "surveys"), ("catalog.csv", "ld_catalog")):
-        shutil.copy(f"{REFERENCE_DATA}/{name}", source / f"{table}.csv")
+    write(source, "employees", "surveys", "ld_catalog")
     (source / "skills.csv").write_text("employee_id,nonsense\nE_1,x\n")
     status = ingest.ingest(spark, str(source), target, "s")
     got = {r.table: r.status for r in status.collect()}
@@ -138,9 +136,10 @@ def test_csv_patterns_and_gzip(spark, tmp_path):
 
 
 def test_tables(spark, sample, tmp_path):
+    sheets = write(tmp_path, "timesheets") + "/timesheets.csv"
     spark.sql(f"CREATE DATABASE IF NOT EXISTS crew LOCATION '{tmp_path}/crew'")
-    tables.table_from_csv(spark, "crew.sheets", f"{REFERENCE_DATA}/datasheet.csv", schemas.TIMESHEETS)
-    tables.table_from_csv(spark, "crew.sheets", f"{REFERENCE_DATA}/datasheet.csv", schemas.TIMESHEETS)
+    tables.table_from_csv(spark, "crew.sheets", sheets, schemas.TIMESHEETS)
+    tables.table_from_csv(spark, "crew.sheets", sheets, schemas.TIMESHEETS)
     assert tables.read_table(spark, "crew.sheets").count() == 12
     assert tables.query(spark, "SELECT * FROM crew.sheets WHERE hours > :h", {"h": 50}).count() == 4
     assert tables.query(spark, "SELECT * FROM crew.sheets WHERE hours > ?", [50]).count() == 4
