@@ -50,7 +50,7 @@ def export_team_risk(spark: SparkSession, home: str, path: str) -> None:
 def train_model(spark: SparkSession, home: str, kind: str = model.LINEAR, **options) -> model.AttritionModel:
     """Train on the feature table and save the model beside it."""
     trained = model.train(_needed(spark, home, FEATURES), kind, **options)
-    artifacts.save_model(trained, f"{home}/models/{kind}")
+    artifacts.save_model(trained, f"{home}/models/{trained.kind}")
     return trained
 
 

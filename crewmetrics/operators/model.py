@@ -18,6 +18,7 @@ from crewmetrics.operators.selection import among
 from crewmetrics.schemas import require
 
 LINEAR, BOOSTED = "logistic_regression", "boosted_trees"
+_ALIASES = {"xgboost": BOOSTED}
 MAX_CLASSES = 100
 
 
@@ -135,6 +136,7 @@ def train(
     The linear model minimises the class-balanced log loss with an L2 term of strength 1 on
     standardised columns: divided by the weight total n, that is ``regParam = 1/n``.
     """
+    kind = _ALIASES.get(kind, kind)
     if kind not in (LINEAR, BOOSTED):
         raise ValueError(f"model kind {kind!r} is not supported")
     require(features, label, key)
@@ -176,11 +178,13 @@ def _train(data, kind, label, key, numeric, categorical, share, seed, evaluate)
     model = AttritionModel(Pipeline(stages=stages).fit(weighted), kind, numeric, categorical, {}, label, key)
     if evaluate:
         tested = scored(model, test_part).select(label, "prediction", "attrition_risk")
+        tested = tested.persist(StorageLevel.MEMORY_AND_DISK)
         report = classification_report(tested, label, "prediction").collect()  # one row per class + 3
         model.metrics = {
             "auc": auc_exact(tested, "attrition_risk", label).first()[0],
             "classification_report": {r["name"]: r.asDict() for r in report},
         }
+        tested.unpersist()
     return model
 
 

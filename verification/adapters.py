@@ -13,6 +13,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crewmetrics import reference as ref
 from crewmetrics.functions.dates import iso_week
 from crewmetrics.sources.files import read_parquet
 
@@ -206,6 +207,9 @@ CTE = {
   {_list(EVENT_TYPES)}[p_partkey % 5 + 1] AS skill, p_brand AS provider, p_partkey AS ordinal FROM part)""",
     "needs": f"""needs AS (SELECT * FROM (VALUES {_rows((r, i, s, float(n)) for r, ns in REQUIREMENTS.items() for i, (s, n) in enumerate(ns.items()))}) t(role, ord, skill, need))""",
     "paths": f"""paths AS (SELECT * FROM (VALUES {_rows((r, i, t) for r, ts in PATHS.items() for i, t in enumerate(ts))}) t(role, ord, target))""",
+    "ref_needs": f"""needs AS (SELECT * FROM (VALUES {_rows((r, i, s, float(n)) for r, ns in ref.CAREER_REQUIREMENTS.items() for i, (s, n) in enumerate(ns.items()))}) t(role, ord, skill, need))""",
+    "ref_paths": f"""paths AS (SELECT * FROM (VALUES {_rows((r, i, t) for r, ts in ref.CAREER_PATHS.items() for i, t in enumerate(ts))}) t(role, ord, target))""",
+    "ref_catalog": f"""catalog AS (SELECT * FROM (VALUES {_rows((*c, i) for i, c in enumerate(ref.FALLBACK_CATALOG))}) t(course_id, title, skill, provider, ordinal))""",
     "projects": f"""projects AS (SELECT * FROM (VALUES {_rows((i, p['title'], p['duration']) for i, p in enumerate(PROJECTS))}) t(ord, title, duration))""",
     "project_skills": f"""project_skills AS (SELECT * FROM (VALUES {_rows((i, s) for i, p in enumerate(PROJECTS) for s in p['skills'])}) t(ord, skill))""",
     "lexicon": f"""lexicon AS (SELECT * FROM (VALUES {_rows(WEIGHTS.items())}) t(word, weight))""",

@@ -185,6 +185,8 @@ LEFT JOIN (SELECT employee_id, string_agg(skill, ',' ORDER BY pos) AS wanted FRO
   {_r('coalesce(sum(CASE WHEN need IS NOT NULL THEN greatest(0, need - coalesce(level, 0)) END), 0.0)', 'total_gap')}
 FROM employees e LEFT JOIN needs n ON n.role = e.role LEFT JOIN levels l ON l.employee_id = e.employee_id AND l.skill = n.skill GROUP BY e.employee_id, e.role"""),
     "career_courses": with_(_CAREER + " catalog courses", "SELECT employee_id, courses, padded FROM courses"),
+    "fallback_courses": with_("employees skills ref_needs ref_paths levels options role_gaps ref_catalog courses",
+        "SELECT employee_id, target_role, courses FROM courses JOIN targets USING (employee_id)"),
     "career_mentor": with_("employees mentors", "SELECT employee_id, coalesce(mentor_id, 'none') AS mentor_id FROM mentors"),
     "career_project": with_(_CAREER + " projects project_skills project_pick", """SELECT k.employee_id, p.title,
   CASE WHEN matched THEN 'Addresses skill gaps in ' || w.two ELSE 'General skill development' END AS reason

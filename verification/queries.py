@@ -280,6 +280,14 @@ def theme_summary(s, d):
     return r6(themes.theme_summary(scored, a.employees(s, d), 3))
 
 
+def theme_terms(s, d):
+    fitted, kept = themes.fit_themes(
+        a.surveys(s, d), "response_id", n_themes=5, max_iter=30, tolerance=1e-3, stop_words=a.STOP_WORDS
+    )
+    kept.unpersist()
+    return fitted.term_table(s)
+
+
 def themes_nmf(s, d):
     return themes.survey_themes(
         a.surveys(s, d), "response_id", 5, max_iter=30, tolerance=1e-3, stop_words=a.STOP_WORDS
@@ -452,6 +460,15 @@ def career_courses(s, d):
     )
 
 
+def fallback_courses(s, d):
+    made = career.recommend_courses(
+        career.career_targets(a.employees(s, d), a.skills(s, d)), career.fallback_catalog(s), ref.vocabulary(ref.CAREER_REQUIREMENTS)
+    )
+    return made.select(
+        "employee_id", "target_role", F.array_join(F.transform("recommended_courses", lambda c: c["course_id"]), ",").alias("courses")
+    )
+
+
 def career_mentor(s, d):
     made = career.recommend_mentors(a.employees(s, d))
     return made.select("employee_id", F.coalesce("recommended_mentor.mentor_id", F.lit("none")).alias("mentor_id"))
@@ -483,10 +500,10 @@ QUERIES = [
     tenure_weeks, survey_sentiment, monthly_sentiment, workload_ratio, one_on_one_cadence, pto_spike, internal_moves,
     skills_pivot, skill_gap, employee_features, risk_score, team_risk, risk_rollup, top_teams, team_drivers, risk_decisions,
     batch_person_risk, batch_team_risk, next_step_records, person_prompts, parsed_replies, latest_per_key, upsert_next_steps,
-    lexicon_sentiment, weighted_sentiment, team_sentiment, keyword_mentions, tfidf_terms, theme_summary, themes_nmf,
+    lexicon_sentiment, weighted_sentiment, team_sentiment, keyword_mentions, tfidf_terms, theme_summary, themes_nmf, theme_terms,
     auc_exact, classification_report, attrition_scores, boosted_scores, linear_importance, permutation_importance,
     stratified_split, explain_levels, chunks, small_chunks, chunk_ids, knn_l2, knn_l2_similarity, knn_cosine, knn_approximate,
-    sparse_retrieval, context_prompt, citations, ask, hit_at_k, employee_skills, career_target, target_gaps, career_courses,
+    sparse_retrieval, context_prompt, citations, ask, hit_at_k, employee_skills, career_target, target_gaps, career_courses, fallback_courses,
     career_mentor, career_project, career_plan, skill_demand,
 ]
 BY_NAME = {q.__name__: q for q in QUERIES}
