@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from crewmetrics.plans.sizes import at_most
 
 SINGLE_FILE_ROWS = 100_000
+SPLIT_BYTES = 128 * 1024 * 1024
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -66,14 +67,18 @@ def read_parquet(
 ) -> DataFrame:
     """A parquet table.
 
-    ``spread=True`` is for text: its processing is bound by the processor, and a table written as
-    a few row groups would keep only as many cores busy.  The rows are then dealt to all cores; a
-    table with at least as many splits as cores is read as it is.
+    ``spread=True`` is for text: its processing is bound by the processor, and a small table in a few
+    files may be a single row group, which keeps one core busy however it is split.  The rows of
+    such a table, with fewer files than cores and less than ``SPLIT_BYTES`` per core, are dealt to
+    all cores; any other table is read as it is.
     """
     df = (spark.read.schema(schema) if schema else spark.read).parquet(path)
+    if not spread:
+        return df
     cores = spark.sparkContext.defaultParallelism
-    # a bare scan: counting its splits plans the files and runs nothing
-    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    few = len(df._jdf.inputFiles()) < cores and size < cores * SPLIT_BYTES
+    return df.repartition(cores) if few else df
 
 
 def read_documents(spark: SparkSession, folder: str, pattern: str = "*.txt", extract=None) -> DataFrame:
