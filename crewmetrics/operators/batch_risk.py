@@ -93,7 +93,7 @@ def team_risk(people: DataFrame) -> DataFrame:
         people.where(F.col("practice").isNotNull())
         .groupBy(F.col("practice").alias("team"))
         .agg(
-            F.bround(F.avg("risk"), 2).alias("avg_risk"),
+            (F.rint(F.avg("risk") * 100.0) / 100.0).alias("avg_risk"),
             *[F.mode(f"top_driver_{i}", True).alias(f"top_driver_{i}") for i in (1, 2, 3)],
         )
     )

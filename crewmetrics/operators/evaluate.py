@@ -13,7 +13,8 @@ def auc_exact(scored: DataFrame, score: str, label: str) -> DataFrame:
     """One row ``auc``: share of (positive, negative) pairs ranked right, ties counting half.
 
     Rows are first counted per distinct score; the number of negatives below each score comes
-    from distributed running totals.  Null without both classes.
+    from distributed running totals.  Null without both classes.  The value is computed here, as
+    the evaluators of Spark ML do, so that the counts can be kept while they are read and dropped.
     """
     positive = (F.col(label) == 1).cast("bigint")
     counted = (
@@ -21,10 +22,13 @@ def auc_exact(scored: DataFrame, score: str, label: str) -> DataFrame:
         .groupBy(F.col(score).cast("double").alias("_score"))
         .agg(F.sum(positive).alias("_pos"), F.sum(1 - positive).alias("_neg"))
     )
+    counted = counted.persist(StorageLevel.MEMORY_AND_DISK)
     ranked = running_totals(by_value(counted, "_score"), [F.col("_score")], {"_below": "_neg"})
     won = F.sum(F.col("_pos").cast("double") * (F.col("_below") + F.col("_neg") / 2.0))
     pairs = F.sum("_pos").cast("double") * F.sum("_neg").cast("double")
-    return ranked.agg(F.try_divide(won, pairs).alias("auc"))
+    auc = ranked.agg(F.try_divide(won, pairs).alias("auc")).first().auc
+    counted.unpersist()
+    return scored.sparkSession.createDataFrame([(auc,)], "auc double")
 
 
 def medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
@@ -41,6 +45,7 @@ def medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
 
 def _median(df: DataFrame, column: str) -> float | None:
     counted = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
+    counted = counted.persist(StorageLevel.MEMORY_AND_DISK)
     n = counted.agg(F.sum("_n")).first()[0]
     if not n:
         return None
@@ -48,7 +53,9 @@ def _median(df: DataFrame, column: str) -> float | None:
     last = F.col("_before") + F.col("_n")
     lower, upper = (n - 1) // 2, n // 2
     middle = ((F.col("_before") <= lower) & (last > lower)) | ((F.col("_before") <= upper) & (last > upper))
-    return placed.where(middle).agg(F.avg("_v")).first()[0]
+    found = placed.where(middle).agg(F.avg("_v")).first()[0]
+    counted.unpersist()
+    return found
 
 
 def classification_report(scored: DataFrame, label: str, predicted: str) -> DataFrame:

@@ -34,7 +34,7 @@ def tenure_weeks(employees: DataFrame, as_of: date) -> DataFrame:
     if not has(employees, "hire_date"):
         return employees.withColumn("tenure_weeks", F.lit(0))
     hired = F.col("hire_date").try_cast("date")
-    weeks = F.bround(F.datediff(F.lit(as_of), hired) / F.lit(7.0), 0)
+    weeks = F.rint(F.datediff(F.lit(as_of), hired) / F.lit(7.0))
     return employees.withColumn("tenure_weeks", weeks.cast("int"))
 
 

@@ -58,7 +58,9 @@ def person_prompts(people: DataFrame, skills: DataFrame) -> DataFrame:
     joined = people.join(listed, "employee_id", "left")
 
     def digits(name: str, n: int) -> Column:
-        return F.format_string(f"%.{n}f", F.col(name).cast("double"))
+        # the formatter rounds half up; half-even is wanted
+        even = F.rint(F.col(name).cast("double") * 10.0**n) / 10.0**n
+        return F.format_string(f"%.{n}f", even)
 
     prompt = F.format_string(
         ref.PERSON_PROMPT,

@@ -7,9 +7,6 @@ partitions and merges small ones, so no operator here hard-codes a partition cou
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 RECOMMENDED_CONF = {
@@ -32,19 +29,3 @@ def session(app: str = "crewmetrics", master: str | None = None, **conf: str) ->
     for key, value in conf.items():
         builder = builder.config(key.replace("_", "."), value)
     return builder.getOrCreate()
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: the cluster's own setting if there is one.
-
-    Only a session without the setting (a test on one machine) gets a local folder.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        configured = tempfile.mkdtemp(prefix="checkpoint-")
-        os.makedirs(configured, exist_ok=True)
-        spark.conf.set("spark.checkpoint.dir", configured)
-    spark.sparkContext.setCheckpointDir(configured)
-    return configured

@@ -197,6 +197,6 @@ FROM project_pick k JOIN projects p USING (ord) LEFT JOIN (SELECT employee_id, s
 FROM targets t JOIN courses c USING (employee_id) JOIN mentors m USING (employee_id) JOIN project_pick k USING (employee_id) JOIN projects p ON p.ord = k.ord"""),
     "skill_demand": with_("employees skills needs levels", f"""SELECT role, skill, required_level, people, {_r6('avg_level', 'total_gap')},
   CAST(row_number() OVER (PARTITION BY role ORDER BY total_gap DESC, skill) AS INTEGER) AS demand_rank FROM (
-  SELECT e.role, n.skill, max(need) AS required_level, count(*) AS people, avg(coalesce(level, 0)) AS avg_level, sum(greatest(0, need - coalesce(level, 0))) AS total_gap
+  SELECT e.role, n.skill, CAST(max(need) AS DOUBLE) AS required_level, count(*) AS people, avg(coalesce(level, 0)) AS avg_level, sum(greatest(0, need - coalesce(level, 0))) AS total_gap
   FROM employees e JOIN needs n ON n.role = e.role LEFT JOIN levels l ON l.employee_id = e.employee_id AND l.skill = n.skill GROUP BY e.role, n.skill)"""),
 }
