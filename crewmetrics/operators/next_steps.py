@@ -20,7 +20,7 @@ def weakest_skills(skills: DataFrame, n: int = 2) -> DataFrame:
     The rank limit is applied before the shuffle as well, so a long skill list is cut on the
     map side.
     """
-    by_level = Window.partitionBy("employee_id").orderBy("level", "skill")
+    by_level = Window.partitionBy("employee_id").orderBy(F.col("level").asc_nulls_last(), "skill")
     low = skills.where(F.col("employee_id").isNotNull()).withColumn("_r", F.row_number().over(by_level))
     picked = low.where(F.col("_r") <= n).groupBy("employee_id")
     return picked.agg(
@@ -49,9 +49,10 @@ def person_prompts(people: DataFrame, skills: DataFrame) -> DataFrame:
     )
     level = F.col("level")
     shown = F.when(level == F.floor(level), level.cast("bigint").cast("string")).otherwise(level.cast("string"))
+    shown = F.coalesce(shown, F.lit("nan"))
     entry = F.format_string("{'skill': '%s', 'level': %s}", F.col("skill"), shown)
     listed = counted.groupBy("employee_id").agg(
-        F.sort_array(F.collect_list(F.struct((-level).alias("o"), "skill", entry.alias("e"), "copies"))).alias("_l")
+        F.sort_array(F.collect_list(F.struct(level.isNull().alias("last"), (-level).alias("o"), "skill", entry.alias("e"), "copies"))).alias("_l")
     )
     entries = F.flatten(F.transform("_l", lambda s: F.array_repeat(s["e"], s["copies"])))
     listed = listed.select("employee_id", F.array_join(entries, ", ").alias("_skills"))

@@ -33,29 +33,28 @@ def by_hash(df: DataFrame, *columns: str, bits: int = 12) -> DataFrame:
 
 
 def running_totals(
-    staged: DataFrame, order: list[Column], sums: dict[str, str], by: list[str] | None = None
+    staged: DataFrame, order: list[Column], sums: dict[str, str]
 ) -> DataFrame:
     """Add, per name in ``sums``, the total of that column over all rows strictly before.
 
     ``staged`` has a ``_range`` (see ``by_value`` and ``by_hash``) that rises with ``order``, and
-    ``order`` must be unique within ``by``.  Each range is sorted by its own task; only one row per
+    ``order`` must be unique.  Each range is sorted by its own task; only one row per
     range meets in the window that turns range totals into offsets.
     """
-    by = by or []
-    totals = staged.groupBy(*by, "_range").agg(
+    totals = staged.groupBy("_range").agg(
         *[F.sum(column).alias(f"_t_{name}") for name, column in sums.items()]
     )
-    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per range: the only window over everything
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *by,
         "_range",
         *[F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0)).alias(f"_o_{name}") for name in sums],
     )
     inside = (
-        Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
-        staged.join(offsets, [*by, "_range"])
+        staged.join(offsets, "_range")
         .withColumns(
             {
                 name: F.col(f"_o_{name}") + F.coalesce(F.sum(column).over(inside), F.lit(0))

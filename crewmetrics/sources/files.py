@@ -48,6 +48,22 @@ def read_csv(
     return with_ordinal(df) if ordinal else df
 
 
+def read_declared_csv(
+    spark: SparkSession, path: str, declared: T.StructType, optional: set[str] = frozenset(), ordinal: bool = False
+) -> DataFrame:
+    """A CSV file of a known table: declared types by column name, in the file's own column order.
+
+    Columns beyond the declared ones are kept as text; a missing one is an error unless optional.
+    """
+    header = spark.read.option("header", True).option("comment", "#").csv(path).columns
+    missing = [f.name for f in declared if f.name not in header and f.name not in optional]
+    if missing:
+        raise ValueError(f"missing columns {missing}; present: {header}")
+    types = {f.name: f.dataType for f in declared}
+    schema = T.StructType([T.StructField(name, types.get(name, T.StringType())) for name in header])
+    return read_csv(spark, path, schema, ordinal)
+
+
 def read_csv_matching(
     spark: SparkSession, folder: str, pattern: str, schema: T.StructType | None = None
 ) -> DataFrame:

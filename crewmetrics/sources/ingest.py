@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from crewmetrics import reference as ref
 from crewmetrics import schemas
 from crewmetrics.functions.masking import mask_columns, pii_columns
-from crewmetrics.sources.files import exists, read_csv, write_parquet
+from crewmetrics.sources.files import exists, read_csv, read_declared_csv, write_parquet
 
 STATUS = "file string, table string, status string, message string"
 
@@ -36,7 +36,11 @@ def ingest(
         try:
             schema = schemas.TABLES.get(table)
             # the order of catalog, skill and employee rows decides between equal candidates
-            df = read_csv(spark, path, schema, ordinal=table in ("ld_catalog", "skills", "employees"))
+            ordered = table in ("ld_catalog", "skills", "employees")
+            if schema is None:
+                df = read_csv(spark, path, ordinal=ordered)
+            else:
+                df = read_declared_csv(spark, path, schema, schemas.OPTIONAL.get(table, set()), ordered)
             if mask:
                 df = mask_columns(df, pii_columns(df, compat), salt)
             write_parquet(df, f"{target.rstrip('/')}/{table}")

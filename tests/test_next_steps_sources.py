@@ -122,6 +122,18 @@ def test_ingest(spark, tmp_path):
     assert not ingest.succeeded(nothing)
 
 
+def test_ingest_of_hire_dates_and_extra_columns(spark, tmp_path):
+    from crewmetrics.operators import features
+
+    source, target = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    (source / "employees.csv").write_text("role,practice,employee_id,hire_date,site\nAnalyst,AI,E_1,2024-01-01,Pune\n")
+    assert ingest.succeeded(ingest.ingest(spark, str(source), target, "s"))
+    people = files.read_parquet(spark, f"{target}/employees")
+    assert people.first().site == "Pune" and people.first().employee_id.startswith("H_")
+    assert features.tenure_weeks(people, date(2024, 1, 22)).first().tenure_weeks == 3
+
+
 def test_csv_patterns_and_gzip(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     body = "employee_id,month,free_text,rating\nE_1,2025-05,\"a, b\",4\n"
