@@ -83,7 +83,7 @@ def read_parquet(
 ) -> DataFrame:
     """A parquet table.
 
-    ``spread=True`` is for text: its processing is bound by the processor, and a small table in a few
+    ``spread=True`` is for text and vectors: their work is bound by the processor, and a small table in a few
     files may be a single row group, which keeps one core busy however it is split.  The rows of
     such a table, with fewer files than cores and less than ``SPLIT_BYTES`` per core, are dealt to
     all cores; any other table is read as it is.

@@ -52,7 +52,7 @@ PROJECTS = [
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return read_parquet(spark, f"{folder}/{name}.parquet", spread=name in ("documents", "conversations"))
+    return read_parquet(spark, f"{folder}/{name}.parquet", spread=name in ("documents", "conversations", "embeddings"))
 
 
 def _pick(values: list[str], position) -> F.Column:
