@@ -25,7 +25,7 @@ from verification import adapters as a  # noqa: E402
 from verification.queries import BY_NAME  # noqa: E402
 
 HEADLINE = [
-    "employee_features", "team_risk", "risk_rollup", "batch_team_risk", "next_step_records", "upsert_next_steps", "internal_moves",
+    "employee_features", "team_risk", "risk_rollup", "batch_team_risk", "next_steps", "upsert_next_steps", "internal_moves",
     "lexicon_sentiment", "weighted_sentiment", "team_sentiment", "tfidf_terms", "theme_summary", "themes_nmf", "auc_exact",
     "classification_report", "attrition_scores", "permutation_importance", "explain_levels", "chunks", "knn_l2", "knn_cosine",
     "sparse_retrieval", "ask", "career_plan", "skill_demand",

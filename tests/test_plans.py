@@ -21,7 +21,7 @@ def plan(df) -> str:
 
 
 def test_no_python_no_cross_join_in_relational_queries(spark):
-    for name in ("employee_features", "team_risk", "batch_team_risk", "career_plan", "next_step_records", "upsert_next_steps",
+    for name in ("employee_features", "team_risk", "batch_team_risk", "career_plan", "next_steps", "upsert_next_steps",
                  "weighted_sentiment", "team_sentiment", "chunks", "skill_demand", "internal_moves", "week_buckets"):
         text = plan(q.BY_NAME[name](spark, DIR))
         for node in ("BatchEvalPython", "ArrowEvalPython", "MapInArrow", "CartesianProduct", "BroadcastNestedLoopJoin"):

@@ -106,7 +106,7 @@ FROM lineitem WHERE l_quantity >= 10.0 GROUP BY l_returnflag, l_linestatus""",
 (SELECT practice AS team, round_even(avg(risk), 2) AS avg_risk FROM people WHERE practice IS NOT NULL GROUP BY practice)
 """ + "\n".join(f"""JOIN (SELECT practice, n FROM (SELECT practice, top[{i}].n AS n, row_number() OVER (PARTITION BY practice ORDER BY count(*) DESC, top[{i}].n) AS r
   FROM people GROUP BY practice, top[{i}].n) WHERE r = 1) m{i} ON m{i}.practice = team""" for i in (1, 2, 3))),
-    "next_step_records": with_(_PEOPLE + " skills weak", f"""SELECT employee_id, round_even(risk, 3) + 0.0 AS attrition_risk,
+    "next_steps": with_(_PEOPLE + " skills weak", f"""SELECT employee_id, round_even(risk, 3) + 0.0 AS attrition_risk,
   'Enroll in focused upskilling: ' || coalesce(weak, '') || ' (4 weeks).' AS upskilling, 5 AS steps, 'manager' AS owner, 6 AS suggested_check_in_weeks,
   {_r6('workload_ratio')}, top[1].n || ',' || top[2].n || ',' || top[3].n AS top_drivers FROM people LEFT JOIN weak USING (employee_id)"""),
     "person_prompts": with_(_PEOPLE + " skills", """SELECT employee_id, '[' || coalesce(s, '') || ']' AS skills_line,

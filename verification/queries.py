@@ -190,7 +190,7 @@ def batch_team_risk(s, d):
     return batch_risk.team_risk(_people(s, d))
 
 
-def next_step_records(s, d):
+def next_steps_records(s, d):
     made = next_steps.next_steps(_people(s, d), a.skills(s, d))
     return r6(
         made.select(
@@ -499,14 +499,14 @@ QUERIES = [
     mask_ids, bucket_dates, month_buckets, week_buckets, event_weeks, active_members, unknown_members, sql_parameters,
     tenure_weeks, survey_sentiment, monthly_sentiment, workload_ratio, one_on_one_cadence, pto_spike, internal_moves,
     skills_pivot, skill_gap, employee_features, risk_score, team_risk, risk_rollup, top_teams, team_drivers, risk_decisions,
-    batch_person_risk, batch_team_risk, next_step_records, person_prompts, parsed_replies, latest_per_key, upsert_next_steps,
+    batch_person_risk, batch_team_risk, next_steps_records, person_prompts, parsed_replies, latest_per_key, upsert_next_steps,
     lexicon_sentiment, weighted_sentiment, team_sentiment, keyword_mentions, tfidf_terms, theme_summary, themes_nmf, theme_terms,
     auc_exact, classification_report, attrition_scores, boosted_scores, linear_importance, permutation_importance,
     stratified_split, explain_levels, chunks, small_chunks, chunk_ids, knn_l2, knn_l2_similarity, knn_cosine, knn_approximate,
     sparse_retrieval, context_prompt, citations, ask, hit_at_k, employee_skills, career_target, target_gaps, career_courses, fallback_courses,
     career_mentor, career_project, career_plan, skill_demand,
 ]
-BY_NAME = {q.__name__: q for q in QUERIES}
+BY_NAME = {q.__name__.removesuffix("_records"): q for q in QUERIES}
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
