@@ -92,6 +92,13 @@ def lexicon_score(text: Column, positive: list[str], negative: list[str]) -> Col
     return F.coalesce(F.aggregate(clean_words(text), zero, add, finish), F.lit(0.0))
 
 
+def chunk_count(text: Column, size: int, overlap: int) -> Column:
+    """How many chunks ``chunk_structs`` makes of a text, from its number of words alone."""
+    n = F.size(words(text))
+    later = F.ceil((n - size) / F.lit(size - overlap))
+    return F.when(n <= 0, 0).when(n <= size, 1).otherwise(later + 1).cast("bigint")
+
+
 def chunk_structs(text: Column, size: int, overlap: int) -> Column:
     """``array<struct<chunk_index, text>>``: windows of ``size`` words that share ``overlap``.
 

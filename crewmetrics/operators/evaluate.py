@@ -68,10 +68,11 @@ def classification_report(scored: DataFrame, label: str, predicted: str) -> Data
         .groupBy(F.col(label).cast("int").alias("l"), F.col(predicted).cast("int").alias("p"))
         .agg(F.count("*").alias("n"))
     )
-    zero = F.lit(0).cast("bigint")
-    sides = F.array(
-        F.struct(F.col("l").alias("c"), F.col("n").alias("s"), zero.alias("q"), F.when(F.col("l") == F.col("p"), F.col("n")).otherwise(zero).alias("t")),
-        F.struct(F.col("p").alias("c"), zero.alias("s"), F.col("n").alias("q"), zero.alias("t")),
+    zero, n = F.lit(0).cast("bigint"), F.col("n")
+    right = F.when(F.col("l") == F.col("p"), n).otherwise(zero)
+    sides = F.array(  # class, support, predicted, right
+        F.struct(F.col("l").alias("c"), n.alias("s"), zero.alias("q"), right.alias("t")),
+        F.struct(F.col("p").alias("c"), zero.alias("s"), n.alias("q"), zero.alias("t")),
     )
     counts = confusion.select(F.inline(sides)).groupBy("c").agg(*[F.sum(x).alias(x) for x in "sqt"])
 

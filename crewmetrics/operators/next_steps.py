@@ -51,9 +51,8 @@ def person_prompts(people: DataFrame, skills: DataFrame) -> DataFrame:
     shown = F.when(level == F.floor(level), level.cast("bigint").cast("string")).otherwise(level.cast("string"))
     shown = F.coalesce(shown, F.lit("nan"))
     entry = F.format_string("{'skill': '%s', 'level': %s}", F.col("skill"), shown)
-    listed = counted.groupBy("employee_id").agg(
-        F.sort_array(F.collect_list(F.struct(level.isNull().alias("last"), (-level).alias("o"), "skill", entry.alias("e"), "copies"))).alias("_l")
-    )
+    highest_first = F.struct(level.isNull().alias("last"), (-level).alias("o"), "skill", entry.alias("e"), "copies")
+    listed = counted.groupBy("employee_id").agg(F.sort_array(F.collect_list(highest_first)).alias("_l"))
     entries = F.flatten(F.transform("_l", lambda s: F.array_repeat(s["e"], s["copies"])))
     listed = listed.select("employee_id", F.array_join(entries, ", ").alias("_skills"))
     joined = people.join(listed, "employee_id", "left")
