@@ -58,6 +58,10 @@ def permutation_importance(
     )
 
 
+def top_features(importance: list[dict], n: int = 5) -> list[dict]:
+    return sorted(importance, key=lambda row: (-row["importance"], row["feature"]))[:n]
+
+
 def driver_array(
     features: DataFrame, importance: list[dict], n: int = 5, medians: dict[str, float] | None = None
 ) -> Column:
@@ -67,7 +71,7 @@ def driver_array(
     ``coefficient``: its sign is the direction.  Without coefficients a value above the median is
     high.  The list is no longer than the feature list, so it becomes part of the projection.
     """
-    top = sorted(importance, key=lambda row: (-row["importance"], row["feature"]))[:n]
+    top = top_features(importance, n)
     undirected = [row["feature"] for row in top if row.get("coefficient") is None]
     if undirected and medians is None:
         medians = exact_medians(features, undirected)
@@ -124,6 +128,6 @@ def explain_model(
     table = linear_importance(model, features.sparkSession) if linear else permutation_importance(model, features)
     # as many rows as the model has inputs; a driver has a number as its value
     importance = [row.asDict() for row in table.collect() if row["feature"] in model.numeric]
-    medians = None if linear else exact_medians(features, model.numeric)
+    medians = None if linear else exact_medians(features, [row["feature"] for row in top_features(importance)])
     chosen = among(features, model.key, ids).select(model.key, *model.inputs)
     return explain(scored(model, chosen), importance, model.key, medians=medians)

@@ -72,7 +72,7 @@ FROM (SELECT o_custkey, min(o_orderdate) AS a, max(o_orderdate) AS b FROM orders
   unnest(generate_series(CAST(min(ts) AS DATE)::TIMESTAMP, CAST(max(ts) AS DATE)::TIMESTAMP, INTERVAL 1 DAY)) AS day FROM events GROUP BY user_id)""",
     "event_weeks": "SELECT DISTINCT user_id, strftime(ts, '%G-W%V') AS week FROM events",
     "active_members": with_("employees", "SELECT employee_id, role, seniority FROM employees WHERE employee_id IN (SELECT CAST(user_id AS VARCHAR) FROM events)"),
-    "unknown_members": with_("employees", "SELECT employee_id FROM employees WHERE employee_id NOT IN (SELECT CAST(o_custkey AS VARCHAR) FROM orders)"),
+    "unknown_members": with_("employees", "SELECT employee_id FROM employees WHERE employee_id NOT IN (SELECT CAST(user_id AS VARCHAR) FROM events)"),
     "sql_parameters": f"""SELECT l_returnflag, l_linestatus, count(*) AS line_count, {_r('avg(l_discount)', 'avg_discount')}
 FROM lineitem WHERE l_quantity >= 10.0 GROUP BY l_returnflag, l_linestatus""",
     "tenure_weeks": """SELECT o_orderkey, CAST(round_even(date_diff('day', CAST(o_orderdate AS DATE), DATE '2024-02-01') / 7.0, 0) AS INTEGER) AS tenure_weeks FROM orders""",

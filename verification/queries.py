@@ -91,8 +91,7 @@ def active_members(s, d):
 
 
 def unknown_members(s, d):
-    users = a.table(s, d, "orders").select(F.col("o_custkey").cast("string").alias("employee_id")).distinct()
-    return selection.unknown(a.employees(s, d).select("employee_id"), users, "employee_id")
+    return selection.unknown(a.employees(s, d).select("employee_id"), a.timesheets(s, d), "employee_id")
 
 
 def sql_parameters(s, d):
