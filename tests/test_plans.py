@@ -121,3 +121,32 @@ def test_drilldown_to_persons(spark):
 def test_hot_rows_are_not_shuffled(spark):
     text = plan(features.pto_spike(hot_employee(spark).drop("n"))).split("\n\n")[0]
     assert "BroadcastHashJoin" in text and "Window" not in text
+
+
+def test_weights_and_contexts_do_not_shuffle_the_corpus(spark):
+    from crewmetrics.operators import tfidf
+
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "source", "text")
+    index = retrieval.build_index(docs)
+    arrays = tfidf.term_arrays(docs, ["doc_id"], "text")
+    assert "Exchange" not in plan(tfidf.vectors(arrays, index.vocab, ["doc_id"])).split("\n\n")[0]
+    hits = retrieval.retrieve(a.passages(spark, DIR), index)
+    text = plan(retrieval.contexts(hits, index.chunks)).split("\n\n")[0]
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+    # the broadcast of the hits, and the found chunks by question
+    assert text.count("Exchange") == 2
+    index.release()
+
+
+def test_split_is_a_filter(spark):
+    from crewmetrics.operators import model
+
+    train, test = model.stratified_split(a.table(spark, DIR, "labels"), "quality", "doc_id")
+    for part in (train, test):
+        assert "Exchange" not in plan(part).split("\n\n")[0]
+
+
+def test_sentiment_is_read_from_the_two_needed_columns(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").withColumnRenamed("text", "free_text")
+    text = plan(features.survey_sentiment(docs).select("doc_id", "survey_sentiment"))
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in text
