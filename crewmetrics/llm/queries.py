@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crewmetrics.llm import packing, quality, token_counts, url_filters, warc
+from crewmetrics.llm import decontaminate, lm_scoring, near_dup, packing, pii, quality, substring_dedup, token_counts, url_filters, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RULES = [
@@ -18,10 +18,30 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.replace_entities(table(spark, folder, "documents"), secret="check key").select("doc_id", "text", "n_entities")
+
+
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.repeats(table(spark, folder, "documents"), window=20).drop("spans")
+
+
+def op3_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op4_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return url_filters.judge(table(spark, folder, "pages"), RULES)
 
 
+def op5_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_scoring.score(table(spark, folder, "documents"), TOKENIZER)
+
+
+def op6_minhash_near_dup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, folder, "documents"), shingle=4, percent=80)
+
+
 def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), TOKENIZER)
 
@@ -44,5 +64,5 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"), TOKENIZER, limit=1024)
 
 
-QUERIES = {f.__name__: f for f in (op4_url_filters, op7_best_fit_packing, op8_warc, op9_quality_rules, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_substring_dedup, op3_benchmark_decontamination, op4_url_filters, op5_lm_scoring, op6_minhash_near_dup, op7_best_fit_packing, op8_warc, op9_quality_rules, op10_token_counts)}
 ORACLES: dict[str, str] = {}

@@ -77,6 +77,10 @@ class Encoder:
         starts = _cuts(data, bounds)
         offsets = np.append(starts, len(data)).astype(np.int32)
         cut = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+        return *self._distinct(cut), np.searchsorted(starts, bounds)
+
+    def _distinct(self, cut: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+        """The ids of each distinct piece, and the number of each piece."""
         coded = cut.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         new = [p for p in distinct if p not in self.known]
@@ -85,7 +89,7 @@ class Encoder:
         if len(self.known) + len(fresh) > REMEMBERED:
             self.known.clear()
         self.known.update((p, x) for p, x in fresh.items() if len(p) <= LONGEST)
-        return ids, coded.indices.to_numpy(zero_copy_only=False), np.searchsorted(starts, bounds)
+        return ids, coded.indices.to_numpy(zero_copy_only=False)
 
     def lengths(self, column: pa.Array) -> np.ndarray:
         """How many tokens each text has."""
@@ -97,11 +101,20 @@ class Encoder:
     def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and each text's bounds in them."""
         ids, numbers, first = self.pieces(column)
-        if not ids:
-            return np.zeros(0, np.uint32), np.zeros(len(first), np.int64)
-        sizes = np.array([len(x) for x in ids], np.int64)
-        flat, begins = np.concatenate(ids), np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)[:-1]))
-        each = sizes[numbers]
-        total = np.concatenate((np.zeros(1, np.int64), np.cumsum(each)))
-        out = flat[np.repeat(begins[numbers] - total[:-1], each) + np.arange(total[-1])]
-        return out, total[first]
+        out, bounds = _joined(ids, numbers)
+        return out, bounds[first]
+
+    def ids_of_pieces(self, cut: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces (binary) in a row, and each piece's bounds in them."""
+        return _joined(*self._distinct(cut))
+
+
+def _joined(ids: list[np.ndarray], numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of numbered pieces one after the other, and the bounds of each piece."""
+    if not ids:
+        return np.zeros(0, np.uint32), np.zeros(len(numbers) + 1, np.int64)
+    sizes = np.array([len(x) for x in ids], np.int64)
+    flat, begins = np.concatenate(ids), np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)[:-1]))
+    each = sizes[numbers]
+    total = np.concatenate((np.zeros(1, np.int64), np.cumsum(each)))
+    return flat[np.repeat(begins[numbers] - total[:-1], each) + np.arange(total[-1])], total
