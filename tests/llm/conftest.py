@@ -4,7 +4,7 @@ import pytest
 @pytest.fixture(scope="session")
 def shared(spark, tmp_path_factory):
     """A shared folder for written tables, and few partitions."""
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+    spark.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
     return spark
 
 
