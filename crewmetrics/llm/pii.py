@@ -76,7 +76,7 @@ def kind_of(raw: Column) -> Column:
     for name, pattern in PATTERNS.items():
         hit = raw.rlike(f"^(?:{pattern})$")
         if name == "card":
-            hit = hit & F.luhn_check(F.regexp_replace(raw, r"\D", ""))
+            hit = hit & F.call_function("luhn_check", F.regexp_replace(raw, r"\D", ""))
         if name == "phone":
             hit = hit & F.length(F.regexp_replace(raw, r"\D", "")).between(7, 15)
         whole = F.when(hit, name) if whole is None else whole.when(hit, name)
@@ -117,7 +117,7 @@ def _phone(canon: Column, secret: str, attempt: Column) -> Column:
 
 def _card(canon: Column, secret: str, attempt: Column) -> Column:
     other = F.substr(_chars(canon, _keyed(secret, "card", canon, attempt), 1), F.lit(1), F.length(canon) - 1)
-    ends = F.filter(F.sequence(F.lit(0), F.lit(9)), lambda d: F.luhn_check(F.concat(other, d.cast("string"))))
+    ends = F.filter(F.sequence(F.lit(0), F.lit(9)), lambda d: F.call_function("luhn_check", F.concat(other, d.cast("string"))))
     return F.concat(other, F.get(ends, F.lit(0)).cast("string"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crewmetrics.llm import decontaminate, lm_scoring, near_dup, packing, pii, quality, substring_dedup, token_counts, url_filters, warc
+from crewmetrics.llm.oracles import ORACLES  # noqa: F401
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RULES = [
@@ -65,4 +66,3 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_substring_dedup, op3_benchmark_decontamination, op4_url_filters, op5_lm_scoring, op6_minhash_near_dup, op7_best_fit_packing, op8_warc, op9_quality_rules, op10_token_counts)}
-ORACLES: dict[str, str] = {}
