@@ -7,10 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crewmetrics.llm.chunks import runs
 from crewmetrics.llm.components import components
 from crewmetrics.llm.scratch import written
 from crewmetrics.llm.words import Words, mixed, rolling, slices
@@ -20,8 +22,8 @@ CHUNKS, CHUNK = 12, 4
 SYMBOLS = CHUNKS * CHUNK
 #: symbols in which two signatures may differ: then some chunk has at most one error
 DISTANCE = 2 * CHUNKS - 1
-#: shingles in one verifying task's group, and members in one block of a shared key
-GROUP_SHINGLES, BLOCK = 500_000, 1024
+#: shingles in one verifying task's group or cell, and members in one block of a shared key
+GROUP_SHINGLES, BLOCK = 64_000, 1024
 
 _ORDERS = np.random.default_rng(20).integers(0, 2**63, SYMBOLS, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -123,30 +125,86 @@ def _stars(percent: int):
     return verify
 
 
+def _agree(symbols: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """For each signature its distance to ``one`` and the first of their common keys, by its place in ``index_keys``."""
+    equal = (symbols == one).reshape(-1, CHUNKS, CHUNK)
+    in_chunk = equal.sum(axis=2)
+    common = np.concatenate([in_chunk - equal[:, :, i] == CHUNK - 1 for i in range(CHUNK)], axis=1)
+    return SYMBOLS - in_chunk.sum(axis=1), common.argmax(axis=1)
+
+
 def _close_pairs(percent: int):
-    """Pairs of a block of a shared key from different components, within the distance and a possible size."""
+    """Pairs of a block of a shared key from different components, within the distance and a possible size.
+
+    A pair counts in the first of its common keys only.  Pairs travel packed, one row for each pair of cells, beside a
+    row for each node that is in one.
+    """
 
     def compare(table: pa.Table) -> pa.Table:
-        node, root, size = (table[c].to_numpy() for c in ("node", "root", "n_shingles"))
-        part = table["part"].to_numpy()
+        node, root, size, cell, part = (table[c].to_numpy() for c in ("node", "root", "n_shingles", "cell", "part"))
         first, last = table["first"][0].as_py(), table["last"][0].as_py()
         symbols = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+        place = np.flatnonzero(index_keys(symbols[:1])[0].view(np.int64) == table["key"][0].as_py())[0]
         left, right = np.flatnonzero(part == first), np.flatnonzero(part == last)
-        a, b = [], []
+        pairs = [np.zeros((0, 2), np.int64)]
         for i in left:
-            other = right[(root[right] != root[i])]
+            other = right[root[right] != root[i]]
             if first == last:
                 other = other[node[other] > node[i]]
             other = other[100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i])]
-            other = other[(symbols[other] != symbols[i]).sum(axis=1) <= DISTANCE]
-            a.append(np.full(len(other), node[i]))
-            b.append(node[other])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+            distance, earliest = _agree(symbols[other], symbols[i])
+            other = other[(distance <= DISTANCE) & (earliest == place)]
+            pairs.append(np.stack([np.full(len(other), i), other], axis=1))
+        pairs = np.concatenate(pairs)
+        low, high = np.minimum(*cell[pairs].T), np.maximum(*cell[pairs].T)
+        order = np.lexsort((high, low))
+        cells = np.stack([low, high], axis=1)[order]
+        edges = np.flatnonzero(np.concatenate(([True], (cells[1:] != cells[:-1]).any(axis=1), [True]))) if len(cells) else [0]
+        rows: list[tuple] = []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            own = pairs[order[a:b]]
+            rows.append((*cells[a].tolist(), None, node[own].astype("<i8").tobytes()))
+            rows += [(*cells[a].tolist(), x, None) for x in node[np.unique(own)].tolist()]
+        columns = zip(*rows, strict=True) if rows else ([], [], [], [])
+        return pa.table([pa.array(list(x), k) for x, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["low", "high", "node", "pairs"])
 
     return compare
 
 
+def _confirmed(percent: int):
+    """Of the pairs of two cells, links on full sets: as many as join what has not been joined here."""
+
+    def verify(table: pa.Table) -> pa.Table:
+        held, packed = table.filter(pc.is_valid(table["node"])), table["pairs"].drop_null()
+        order = np.argsort(held["node"].to_numpy(), kind="stable")
+        node, sets = held["node"].to_numpy()[order], [_set(held["shingles"][int(i)]) for i in order]
+        pairs = np.searchsorted(node, np.frombuffer(b"".join(packed.to_pylist()), "<i8").reshape(-1, 2))
+        pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+        size = np.array([len(x) for x in sets])
+        begin = np.cumsum(size) - size
+        _, numbers = np.unique(np.concatenate(sets), return_inverse=True)
+        marked, root, found = np.zeros(len(numbers), bool), np.arange(len(node)), []
+        for i, a, b in runs(pairs[:, 0]):
+            other = pairs[a:b, 1]
+            other = other[root[other] != root[i]]
+            if not len(other):
+                continue
+            own = numbers[begin[i] : begin[i] + size[i]]
+            marked[own] = True
+            ends = np.cumsum(size[other])
+            inside = marked[numbers[np.repeat(begin[other] - ends + size[other], size[other]) + np.arange(ends[-1])]]
+            marked[own] = False
+            common = np.add.reduceat(inside.astype(np.int64), ends - size[other])
+            other = other[100 * common >= percent * (size[other] + size[i] - common)]
+            joined, at = np.unique(root[other], return_index=True)
+            found += [(node[i], node[x]) for x in other[at]]
+            root[np.isin(root, joined)] = root[i]
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return verify
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_shingles, component_id, kept`` for each row; ``component_id`` is the smallest id that links reach.
 
@@ -155,7 +213,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
     ``DISTANCE`` symbols share a key (two that are 80 % alike differ in more with a chance under 1 in 100,000);
     links are confirmed on full sets.  First every class is held against the smallest class of its keys, the pivot.
     Then, in keys that still hold several components, all members of different components within the distance
-    are compared, in blocks: no cap, and pairs are not formed where stars have joined a group already.
+    are compared, in blocks: no cap, and pairs are not formed where stars have joined a group already.  These pairs
+    stay packed: a class belongs to a cell of those with its pivot, and each pair of cells is confirmed by one task
+    that holds the sets it needs and gives back no more links than join them.
 
     Null and empty texts and those without words have 0 shingles and are linked with nothing.  Rows without an id count
     as members; their component is the smallest id that there is, else null.  Rows that repeat an id are rows of
@@ -183,7 +243,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
 
     parted = sets.select("node", "shingles", F.explode("places").alias("place")).select("node", "shingles", "place.*")
     links = written(parted.groupBy("pivot", "part").applyInArrow(_stars(percent), "a long, b long"))
-    rest = _rest(shared, classes, links, sets, percent)
+    sizes = nearest.groupBy("pivot").agg(F.ceil(F.sum("n_shingles") / GROUP_SHINGLES).cast("int").alias("parts"))
+    cell = F.xxhash64("pivot", F.pmod(F.xxhash64("node"), F.col("parts")))
+    cells = nearest.join(sizes, "pivot").select("node", cell.alias("cell")).join(classes.select("node", "n_shingles", "signature"), "node")
+    rest = _rest(shared, cells, links, sets, percent)
     roots = components(links.unionByName(rest))
 
     classed = classes.select("digest", "n_shingles", "id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -211,7 +274,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, size: int, key: str, text: str)
     return joined.mapInArrow(shingle, schema)
 
 
-def _rest(shared: DataFrame, classes: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _rest(shared: DataFrame, cells: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between the components that the stars have left."""
     roots = components(links)
     rooted = shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
@@ -221,19 +284,14 @@ def _rest(shared: DataFrame, classes: DataFrame, links: DataFrame, sets: DataFra
     mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     open_keys = rooted.join(several.select("key", parts.alias("parts")), "key").withColumn("part", mine)
     blocks = open_keys.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    members = blocks.join(classes.select("node", "n_shingles", "signature"), "node").select(
-        "key", F.least("part", "with").alias("first"), F.greatest("part", "with").alias("last"), "part", "node", "root", "n_shingles", "signature"
+    members = blocks.join(cells, "node").select(
+        "key", F.least("part", "with").alias("first"), F.greatest("part", "with").alias("last"), "part", "node", "root", "n_shingles", "signature", "cell"
     )
-    pairs = members.groupBy("key", "first", "last").applyInArrow(_close_pairs(percent), "a long, b long").distinct()
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            same = [similar(_set(x), _set(y), percent) for x, y in zip(batch.column("one"), batch.column("other"), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
-
-    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("one"))
-    other = sets.select(F.col("node").alias("b"), F.col("shingles").alias("other"))
-    return written(pairs.join(one, "a").join(other, "b").select("a", "b", "one", "other").mapInArrow(verify, "a long, b long"))
+    met = written(members.groupBy("key", "first", "last").applyInArrow(_close_pairs(percent), "low long, high long, node long, pairs binary"))
+    wanted = met.where("node is not null").select("low", "high", "node").distinct()
+    held = wanted.join(sets.select("node", "shingles"), "node").select("low", "high", "node", "shingles", F.lit(None).cast("binary").alias("pairs"))
+    packed = met.where("node is null").select("low", "high", "node", F.lit(None).cast("binary").alias("shingles"), "pairs")
+    return written(held.unionByName(packed).groupBy("low", "high").applyInArrow(_confirmed(percent), "a long, b long"))
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:

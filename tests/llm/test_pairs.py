@@ -145,3 +145,18 @@ def test_masks_find_any_single_substitution():
         other = one.copy()
         other[i] ^= np.uint64(1)
         assert any((a == b).all() for a, b in zip(decontaminate.seeds(one), decontaminate.seeds(other)))
+
+
+def test_cells_of_a_loose_crowd(shared, monkeypatch):
+    """Copies of one text that mostly miss the threshold among themselves, over several blocks and cells."""
+    draw = random.Random(8)
+    base, rows = [f"c{i}" for i in range(60)], []
+    for _ in range(90):
+        own = list(base)
+        for _ in range(draw.randrange(0, 6)):
+            own[draw.randrange(len(own))] = f"n{draw.randrange(40)}"
+        rows.append(" ".join(own))
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    monkeypatch.setattr(near_dup, "GROUP_SHINGLES", 700)
+    found = check_near(shared.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3), 4)
+    assert 1 < len({c for _, c in found.values()}) < len(rows)
