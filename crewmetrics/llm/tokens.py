@@ -15,11 +15,11 @@ import pyarrow as pa
 from crewmetrics.llm.words import buffers, text_column
 
 #: pieces whose ids one Python worker remembers
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: bytes of the longest piece that is remembered
 LONGEST = 64
 #: bytes of pieces in one call of the tokenizer
-CALL_BYTES = 1 << 20
+CALL_BYTES = 1 << 17
 
 _SPACE = 0x20
 #: ASCII white space and separators; of the characters beyond, those of two bytes with lead C3-DF hold no white space
