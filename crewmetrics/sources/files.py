@@ -33,15 +33,28 @@ def with_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def leading_comment(spark: SparkSession, path: str | list[str], comment: str = "#") -> bool:
+    """Whether the first line that Spark reads of a path is a comment."""
+    first = spark.read.text(path).first()
+    return first is not None and first["value"].startswith(comment)
+
+
 def read_csv(
     spark: SparkSession,
     path: str | list[str],
     schema: T.StructType | None = None,
     ordinal: bool = False,
     comment: str = "#",
+    multiline: bool = True,
 ) -> DataFrame:
-    """CSV with a header; ``#`` lines are skipped.  Without a schema one more pass infers types."""
-    reader = spark.read.option("header", True).option("comment", comment).option("escape", '"')
+    """CSV with a header.  Without a schema one more pass infers types.
+
+    ``#`` lines are skipped only in files that begin with one; elsewhere a value may begin with ``#``.  Quoted values
+    may hold line breaks, for which a file is read by one task: ``multiline=False`` splits large files that have none.
+    """
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multiline)
+    if leading_comment(spark, path, comment):
+        reader = reader.option("comment", comment)
     # types come from the schema, names from it as well: a header in another order is an error
     reader = reader.schema(schema).option("enforceSchema", False) if schema else reader.option("inferSchema", True)
     df = reader.csv(path)
@@ -55,7 +68,8 @@ def read_declared_csv(
 
     Columns beyond the declared ones are kept as text; a missing one is an error unless optional.
     """
-    header = spark.read.option("header", True).option("comment", "#").csv(path).columns
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+    header = (reader.option("comment", "#") if leading_comment(spark, path) else reader).csv(path).columns
     missing = [f.name for f in declared if f.name not in header and f.name not in optional]
     if missing:
         raise ValueError(f"missing columns {missing}; present: {header}")
@@ -67,14 +81,19 @@ def read_declared_csv(
 def read_csv_matching(
     spark: SparkSession, folder: str, pattern: str, schema: T.StructType | None = None
 ) -> DataFrame:
-    """All CSV files below ``folder`` whose name matches a glob such as ``*employees*{csv,csv.gz}``."""
+    """All CSV files below ``folder`` whose name matches a glob such as ``*employees*{csv,csv.gz}``.
+
+    A header with other names than the schema's, or in another order, is an error.  ``#`` lines are skipped.
+    """
     reader = (
         spark.read.option("header", True)
         .option("comment", "#")
+        .option("escape", '"')
+        .option("multiLine", True)
         .option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", True)
     )
-    reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
+    reader = reader.schema(schema).option("enforceSchema", False) if schema else reader.option("inferSchema", True)
     return reader.csv(folder)
 
 
@@ -133,7 +152,7 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
 def write_csv(df: DataFrame, path: str, single_file_rows: int = SINGLE_FILE_ROWS) -> None:
     """CSV with header; one file if the result is measured to be small, else one per task."""
     small = at_most(df, single_file_rows)
-    (df.coalesce(1) if small else df).write.mode("overwrite").option("header", True).csv(path)
+    (df.repartition(1) if small else df).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_json(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:

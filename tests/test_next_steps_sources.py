@@ -147,6 +147,20 @@ def test_csv_patterns_and_gzip(spark, tmp_path):
     assert dict(inferred.dtypes)["rating"] == "int"
 
 
+def test_csv_keeps_quoted_line_breaks_and_hash_values(spark, tmp_path):
+    (tmp_path / "s.csv").write_text('employee_id,month,free_text,rating\n#7,2025-05,"first line\nsecond ""line""",4\n')
+    got = files.read_csv(spark, str(tmp_path / "s.csv"), schemas.SURVEYS).collect()
+    assert [tuple(r) for r in got] == [("#7", "2025-05", 'first line\nsecond "line"', 4.0)]
+    declared = files.read_declared_csv(spark, str(tmp_path / "s.csv"), schemas.SURVEYS).collect()
+    assert got == declared
+
+
+def test_csv_of_another_header_is_refused(spark, tmp_path):
+    (tmp_path / "employees.csv").write_text("month,employee_id,free_text,rating\n2025-05,E_1,x,4\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        files.read_csv_matching(spark, str(tmp_path), "*employees*", schemas.SURVEYS).collect()
+
+
 def test_tables(spark, sample, tmp_path):
     sheets = write(tmp_path, "timesheets") + "/timesheets.csv"
     spark.sql(f"CREATE DATABASE IF NOT EXISTS crew LOCATION '{tmp_path}/crew'")
