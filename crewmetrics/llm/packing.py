@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crewmetrics.llm.scratch import written
-from crewmetrics.llm.tokens import Encoder
+from crewmetrics.llm.tokens import ENCODED_BYTES, Encoder
 from crewmetrics.llm.words import slices
 
 #: bins that one task keeps open
@@ -116,7 +116,7 @@ def pack(
         key_type = None
         for batch in batches:
             key_type = batch.schema.field(key).type
-            for part in slices(batch, text):
+            for part in slices(batch, text, ENCODED_BYTES):
                 ids, bounds = encoder.ids(part.column(text))
                 for name, a, b in zip(part.column(key).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                     whole = np.append(ids[a:b], end_id).astype("<u4")

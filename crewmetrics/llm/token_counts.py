@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from crewmetrics.llm.tokens import Encoder
+from crewmetrics.llm.tokens import ENCODED_BYTES, Encoder
 from crewmetrics.llm.words import buffers, slices, text_column
 
 
@@ -28,7 +28,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int, key: str = "doc_id
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(tokenizer)
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, ENCODED_BYTES):
                 n_tokens = encoder.lengths(part.column(text))
                 n_bytes = np.diff(buffers(text_column(part.column(text)))[1])
                 yield pa.RecordBatch.from_arrays([part.column(key), pa.array(n_bytes), pa.array(n_tokens), pa.array(n_tokens > limit)], schema.names)

@@ -45,14 +45,24 @@ def test_words_of_a_slice():
     assert held.raw.to_pylist() == [b"c", b"d", b"e", b"f"] and held.counts().tolist() == [3, 0, 1]
 
 
-def test_bounded_memory_of_pieces(monkeypatch, library):
-    monkeypatch.setattr(tokens, "REMEMBERED", 5)
+def test_pieces_in_small_calls(monkeypatch, library):
+    monkeypatch.setattr(tokens, "TEXT_BYTES", 16)
+    monkeypatch.setattr(tokens, "CALL_BYTES", 32)
     encoder = tokens.Encoder(PATH)
-    texts = ["one two three four five six seven", "eight nine ten eleven one two", "x" * 300 + " y"]
+    texts = ["one two three four five six seven", "eight nine ten eleven one two", "x" * 300 + " y", "", " ", "a\nb<|endoftext|> c  d \u00a0 e"]
+    whole = [library.encode(t, add_special_tokens=False).ids for t in texts]
     for _ in range(2):
-        for t in texts:
-            assert encoder.lengths(pa.array([t])).tolist() == [len(library.encode(t).ids)]
-    assert len(encoder.known) <= 8
+        for t, want in zip(texts, whole, strict=True):
+            assert encoder.lengths(pa.array([t])).tolist() == [len(want)]
+        ids, first = encoder.ids(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == whole
+
+
+def test_ids_that_do_not_stand_for_bytes_raise():
+    encoder = tokens.Encoder(PATH)
+    encoder.sizes[encoder.library.token_to_id("\u0120two")] = 3
+    with pytest.raises(ValueError, match="bytes"):
+        encoder.lengths(pa.array(["one two three"]))
 
 
 def test_token_counts(shared, documents, odd, library):
