@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 from crewmetrics.llm.scratch import written
 
 EMAIL = r"(?<![A-Za-z0-9._+\-])[A-Za-z0-9._+\-]{1,64}+@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9\-])"
-SECRET_NAME = r"(?<!\w)(?i:token|secret|passw(?:or)?d|api[_\-]?key|access[_\-]?key)\s{0,3}[=:]\s{0,3}[\"']?"
-SECRET = SECRET_NAME + r"[A-Za-z0-9+/_\-]{12,128}"
+_QUOTE = r"(?:\\?[\"'`])?"
+#: the end of a secret's name, so that words before it may belong to the name, and what leads to the value
+SECRET_NAME = r"(?=[tspaTSPA])(?i:token|secret(?:[_\-]?key)?|passw(?:or)?d|api[_\-]?key|access[_\-]?key)" + _QUOTE + r"\s*+[=:]{1,2}>?\s*+"
+SECRET_HEAD, SECRET_TAIL = "^" + SECRET_NAME + _QUOTE, r"\\?[\"'`]$"
+#: up to the closing quote of its line, else up to a blank or quote without the punctuation before it
+SECRET = SECRET_NAME + r"(?:\\?\"[^\"\r\n]{12,}\"|\\?'[^'\r\n]{12,}'|\\?`[^`\r\n]{12,}`|" + _QUOTE + r"[^\s\"'`]{12,}(?<![.,;:!?)\]}\\]))"
 TITLES = {
     "m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Г-н", "Κύριος"),
     "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Г-жа", "Κυρία"),
@@ -20,7 +24,12 @@ TITLES = {
 }
 _NAME = r"\p{Lu}[\p{L}'’\-]+"
 PERSON_TITLE = r"(?<![\p{L}\p{N}])(?:" + "|".join(t for held in TITLES.values() for t in sorted(held, key=len, reverse=True)) + r")\.?\s"
-PERSON = PERSON_TITLE + _NAME + rf"(?:\s{_NAME}){{0,2}}"
+#: words within a name that need no capital, and initials; blanks of one line or one line break between words
+_BLANK = r"(?:[^\S\r\n]++|\r?\n)"
+_PARTICLES = "van von vom zu zur der den dem des de del della delle di da das do dos du la las le les los el al af av ten ter te bin bint ibn ben y e i und".split()
+_INNER = rf"(?:(?:{'|'.join(sorted(_PARTICLES, key=len, reverse=True))}|d['’]|\p{{Lu}}\.){_BLANK})*+"
+#: possessive, as a loop then needs no stack however long a name is
+PERSON = PERSON_TITLE + rf"{_INNER}{_NAME}(?:{_BLANK}{_INNER}{_NAME})*+"
 PHONE = r"(?<![\w+])(?:\+1[ .\-]?\(?\d{3}\)?[ .\-]?\d{3}[ .\-]?\d{4}|\+\d{1,3}(?:[ .\-]?\(?\d{2,4}\)?){2,5}|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?!\d)"
 SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 CARD = r"(?<!\d)(?:\d{13,19}|\d{4}(?: \d{4}){2} \d{1,7}|\d{4}(?:-\d{4}){2}-\d{1,7}|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\d)"
@@ -55,19 +64,24 @@ def _byte(hashed: Column, i: Column) -> Column:
     return F.conv(F.substr(hashed, F.pmod(i, F.lit(128)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
 
+def _held(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, also where ``use`` reads it for each element of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _chars(text: Column, hashed: Column, keep: Column | int = 0) -> Column:
     """``text`` with other digits for digits and other letters of the same case for ASCII letters, after ``keep`` characters."""
     keep = keep if isinstance(keep, Column) else F.lit(keep)
 
-    def other(c: Column, i: Column) -> Column:
-        byte = _byte(hashed, i)
+    def other(c: Column, i: Column, held: Column) -> Column:
+        byte = _byte(held, i)
         letter = F.char((byte % 26 + 97).cast("int"))
         return (
             F.when(i < keep, c).when(c.rlike("[0-9]"), (byte % 10).cast("string")).when(c.rlike("[a-z]"), letter)
             .when(c.rlike("[A-Z]"), F.upper(letter)).otherwise(c)
         )
 
-    return F.array_join(F.transform(F.split(text, ""), other), "")
+    return _held(hashed, lambda held: F.array_join(F.transform(F.split(text, ""), lambda c, i: other(c, i, held)), ""))
 
 
 def kind_of(raw: Column) -> Column:
@@ -93,7 +107,7 @@ def canonical(kind: Column, raw: Column) -> Column:
     names = F.regexp_replace(F.regexp_replace(raw, "^" + PERSON_TITLE, ""), r"\s+", " ")
     script = F.when(names.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(names.rlike(r"^\p{IsGreek}"), "greek").otherwise("latin")
     return (
-        F.when(kind == "email", F.lower(raw)).when(kind == "secret", F.regexp_replace(raw, "^" + SECRET_NAME, ""))
+        F.when(kind == "email", F.lower(raw)).when(kind == "secret", F.regexp_replace(F.regexp_replace(raw, SECRET_HEAD, ""), SECRET_TAIL, ""))
         .when(kind == "person", F.concat_ws("|", _gender(raw), script, F.lower(names))).when(kind == "phone", F.regexp_replace(raw, r"[^\d+]", ""))
         .when(kind.isin("card", "ssn"), F.regexp_replace(raw, r"\D", "")).otherwise(raw)
     )
@@ -136,11 +150,12 @@ def _ip(canon: Column, secret: str, attempt: Column) -> Column:
 
 def _names(canon: Column, secret: str, attempt: Column) -> Column:
     parts = F.split(canon, r"\|")
-    gender, script, words = parts[0], parts[1], F.split(parts[2], " ")
+    told = F.struct(parts[0].alias("gender"), parts[1].alias("script"), F.split(parts[2], " ").alias("words"))
     tables = F.create_map(*[x for s, held in SYLLABLES.items() for x in (F.lit(s), F.array(*map(F.lit, held)))])
     ends = [F.create_map(*[x for (s, g), end in held.items() for x in (F.lit(s + g), F.lit(end))]) for held in (GIVEN_END, SURNAME_END)]
 
-    def name(word: Column, i: Column) -> Column:
+    def name(word: Column, i: Column, told: Column) -> Column:
+        gender, script, words = told["gender"], told["script"], told["words"]
         last = i == F.size(words) - 1
         hashed = _keyed(secret, "name", F.when(last, "s").otherwise(F.concat(F.lit("g"), gender)), script, word, attempt)
         held = F.element_at(tables, script)
@@ -148,7 +163,7 @@ def _names(canon: Column, secret: str, attempt: Column) -> Column:
         end = F.when(last, F.element_at(ends[1], F.concat(script, gender))).otherwise(F.element_at(ends[0], F.concat(script, gender)))
         return F.initcap(F.concat(F.array_join(some, ""), end))
 
-    return F.array_join(F.transform(words, name), " ")
+    return _held(told, lambda t: F.array_join(F.transform(t["words"], lambda word, i: name(word, i, t)), " "))
 
 
 def surrogate(kind: Column, canon: Column, secret: str, attempt: Column) -> Column:
@@ -171,7 +186,7 @@ def _as_written(kind: Column, raw: Column, made: Column) -> Column:
     title = F.regexp_extract(raw, "^" + PERSON_TITLE, 0)
     named = F.when(F.upper(F.substr(raw, F.length(title) + 1)) == F.substr(raw, F.length(title) + 1), F.upper(made)).otherwise(made)
     return (
-        F.when(kind.isin("phone", "card", "ssn"), numbered).when(kind == "email", cased).when(kind == "secret", F.concat(F.regexp_extract(raw, "^" + SECRET_NAME, 0), made))
+        F.when(kind.isin("phone", "card", "ssn"), numbered).when(kind == "email", cased).when(kind == "secret", F.concat(F.regexp_extract(raw, SECRET_HEAD, 0), made, F.regexp_extract(raw, SECRET_TAIL, 0)))
         .when(kind == "person", F.concat(title, named)).otherwise(made)
     )
 
@@ -208,7 +223,8 @@ def replace_entities(docs: DataFrame, secret: str, text: str = "text") -> DataFr
 
     The same entity gets the same surrogate in every text and spelling, different ones different surrogates; both
     depend on ``secret`` alone and on which entities there are.  Types are those of ``PATTERNS``; cards need a
-    right check digit, names a title, secrets their name before them.  Texts without entities stay as they are, null
+    right check digit, names a title, secrets their name before them (prefixes and quotes may be around it).  Secrets and names have no
+    upper length; a secret without quotes ends at a blank.  A name without its title stays.  Texts without entities stay as they are, null
     stays null; rows, repeated ones too, keep their number.  Column names do not matter (``n_entities`` is replaced).
 
     Texts are read once to find entities and once for the rows without any; an entity that a third of the rows share is one
