@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crewmetrics.llm.words import Words, mixed, slices, within
+from crewmetrics.llm.words import Words, mixed, rolling, slices, within
 
 #: each mask reads the positions marked 1 of a window of 9 words; any one position is open in one mask
 MASKS = ("011011011", "101101101", "110110110")
@@ -18,8 +18,10 @@ SPAN = len(MASKS[0])
 #: words that are compared on each side of a hit's window
 AROUND = 15
 WIDTH = SPAN + 2 * AROUND
-#: an overlap scores 1 for a word that is equal and this for another; from LEAST on it is a leak
-OTHER, LEAST = -2, 10
+#: an overlap scores 1 for a word that is equal and this for another; from LEAST on, or this share of a shorter item's words, it is a leak
+OTHER, LEAST, SHARE = -2, 10, 0.4
+#: items of fewer words than a window are compared whole, from so many words on
+SHORTEST = 5
 #: bits of the table that tells which hashes cannot be in the benchmark: its size is fixed, whatever the benchmark's
 FILTER_BITS = 25
 
@@ -60,27 +62,45 @@ def best_overlap(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return top, top_same
 
 
-def _hits(rows: DataFrame, key: str, text: str, usable) -> DataFrame:
-    """``key, place, hash, words`` for each window and mask that ``usable`` (hashes to booleans) does not rule out."""
-    schema = T.StructType([T.StructField("key", rows.schema[key].dataType), T.StructField("place", T.LongType()), T.StructField("hash", T.LongType()), T.StructField("words", T.BinaryType())])
+def least(b: np.ndarray) -> np.ndarray:
+    """The score from which an overlap with an item counts, from the prints around its windows (all of an item of up to 24 words)."""
+    n = (b != 0).sum(1)
+    return np.where(n < SPAN, n, np.minimum(LEAST, np.ceil(SHARE * n))).astype(np.int32)
+
+
+def _places(words: Words, h: np.ndarray, short: list[int], whole: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Size, places and hashes of the windows: those of the masks, and of each ``short`` size all, or only ``whole`` texts."""
+    places = np.flatnonzero(within(words.first, SPAN, len(words)))
+    for hashes in seeds(h):
+        yield SPAN, places, hashes[places]
+    for size in short:
+        places = np.flatnonzero(within(words.first, size, len(words)))
+        if whole:
+            places = places[words.counts()[words.text_of()[places]] == size]
+        yield size, places, mixed(rolling(h, size)[places] + np.uint64(size))
+
+
+def _hits(rows: DataFrame, key: str, text: str, usable, short: list[int], whole: bool = False) -> DataFrame:
+    """``key, place, hash, words, size`` for each window of ``_places`` that ``usable`` (hashes to booleans) does not rule out."""
+    schema = T.StructType([T.StructField("key", rows.schema[key].dataType), T.StructField("place", T.LongType()), T.StructField("hash", T.LongType()), T.StructField("words", T.BinaryType()), T.StructField("size", T.LongType())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text):
                 words = Words(part.column(text))
                 h, other = words.hashed(lower=True)
-                ok, at_text = within(words.first, SPAN, len(words)), words.text_of()
+                at_text = words.text_of()
                 prints = np.maximum(other >> np.uint64(32), np.uint64(1)).astype(np.uint32)
-                for hashes in seeds(h):
-                    places = np.flatnonzero(ok)
-                    places = places[usable(hashes[places])]
+                for size, places, hashes in _places(words, h, short, whole):
+                    kept = usable(hashes)
+                    places, hashes = places[kept], hashes[kept]
                     for i in range(0, len(places), 8192):
                         some = places[i : i + 8192]
                         texts = at_text[some]
                         around = _contexts(prints, words.first, texts, some)
                         packed = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(np.arange(0, 4 * WIDTH * len(some) + 1, 4 * WIDTH, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(around))])
                         yield pa.RecordBatch.from_arrays([
-                            part.column(key).take(pa.array(texts)), pa.array(some - words.first[texts]), pa.array(hashes[some].view(np.int64)), packed,
+                            part.column(key).take(pa.array(texts)), pa.array(some - words.first[texts]), pa.array(hashes[i : i + 8192].view(np.int64)), packed, pa.array(np.full(len(some), size, np.int64)),
                         ], schema.names)
 
     return rows.select(key, text).mapInArrow(find, schema)
@@ -103,14 +123,16 @@ def overlaps(
 
     Words are compared with A-Z lower-cased.  A hit is a window of ``SPAN`` words that is equal in the marked
     positions of a mask; the ``WIDTH`` words around it are compared one by one, and the overlap counts from a score of
-    ``LEAST``.  ``place`` is the document's first word of the window (of several equally good the first).  Items of fewer
-    words than a window or the least score match nothing; null and empty texts neither.  Rows that repeat an id count
+    ``LEAST``, or for an item of fewer than 25 words from ``SHARE`` of its words.  ``place`` is the document's first word of the
+    window (of several equally good the first).  Items of fewer words than a window match where all their words are in a
+    row; items of fewer than ``SHORTEST`` words match nothing, null and empty texts neither.  Rows that repeat an id count
     as one document; rows without an id, on either side, are left out.
 
     The benchmark may be of any size: hashes meet in a join.  A table of fixed size (``2 ** FILTER_BITS`` bits), made
     of partial sums on the executors, keeps most windows that have no partner out of it.
     """
-    known = _hits(benchmark.select(F.col(item).alias("key"), F.col(item_text).alias("text")).where("key is not null"), "key", "text", lambda h: np.ones(len(h), bool))
+    known = _hits(benchmark.select(F.col(item).alias("key"), F.col(item_text).alias("text")).where("key is not null"), "key", "text", lambda h: np.ones(len(h), bool), list(range(SHORTEST, SPAN)), True)
+    short = [r[0] for r in known.where(F.col("size") < SPAN).select("size").distinct().collect()]
     known = known.select(F.col("key").alias("item"), F.col("hash"), F.col("words").alias("item_words")).distinct()
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(_table(known.select("hash")))
@@ -120,7 +142,7 @@ def overlaps(
         slot = h >> shift
         return (table.value[slot >> np.uint64(5)] >> (slot & low).astype(np.uint32) & np.uint32(1)).astype(bool)
 
-    hits = _hits(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null"), "key", "text", usable)
+    hits = _hits(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null"), "key", "text", usable, short)
     schema = T.StructType([hits.schema["key"], known.schema["item"]] + [T.StructField(c, T.LongType()) for c in ("place", "score", "same")])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +151,7 @@ def overlaps(
                 continue
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, WIDTH) for c in ("words", "item_words"))
             score, same = best_overlap(a, b)
-            good = pa.array(score >= LEAST)
+            good = pa.array(score >= least(b))
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("item"), batch.column("place"), pa.array(score.astype(np.int64)), pa.array(same.astype(np.int64))], schema.names).filter(good)
 
     found = hits.join(known, "hash").select("key", "item", "place", "words", "item_words").mapInArrow(verify, schema)
