@@ -281,7 +281,7 @@ def theme_summary(s, d):
 
 def theme_terms(s, d):
     fitted, kept = themes.fit_themes(
-        a.surveys(s, d), "response_id", n_themes=5, max_iter=30, tolerance=1e-3, stop_words=a.STOP_WORDS
+        a.surveys(s, d), "response_id", n_themes=5, stop_words=a.STOP_WORDS
     )
     kept.unpersist()
     return fitted.term_table(s)
@@ -289,7 +289,7 @@ def theme_terms(s, d):
 
 def themes_nmf(s, d):
     return themes.survey_themes(
-        a.surveys(s, d), "response_id", 5, max_iter=30, tolerance=1e-3, stop_words=a.STOP_WORDS
+        a.surveys(s, d), "response_id", 5, stop_words=a.STOP_WORDS
     ).drop("free_text")
 
 
@@ -315,7 +315,7 @@ def _document_features(s, d):
 
 def _trained(s, d, kind):
     rows = _document_features(s, d)
-    return model.train(rows, kind, key="doc_id", numeric=["n_chars", "n_words", "sentiment_score"], evaluate=False), rows
+    return model.train(rows, kind, key="doc_id", numeric=["n_chars", "n_words", "sentiment_score"]), rows
 
 
 def attrition_scores(s, d):
