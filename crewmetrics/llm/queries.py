@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crewmetrics.llm import decontaminate, lm_scoring, near_dup, packing, pii, quality, substring_dedup, token_counts, url_filters, warc
+from crewmetrics.llm import bpe, decontaminate, lm_scoring, near_dup, packing, pii, quality, substring_dedup, token_counts, url_filters, warc
 from crewmetrics.llm.oracles import ORACLES  # noqa: F401
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -65,4 +65,16 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"), TOKENIZER, limit=1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_substring_dedup, op3_benchmark_decontamination, op4_url_filters, op5_lm_scoring, op6_minhash_near_dup, op7_best_fit_packing, op8_warc, op9_quality_rules, op10_token_counts)}
+def op12_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    rows = bpe.encode_decode(table(spark, folder, "documents"), TOKENIZER)
+    return rows.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+_ALL = [
+    op1_pii_surrogates, op2_substring_dedup, op3_benchmark_decontamination, op4_url_filters, op5_lm_scoring, op6_minhash_near_dup, op7_best_fit_packing,
+    op8_warc, op9_quality_rules, op10_token_counts, op12_bpe,
+]
+QUERIES = {f.__name__: f for f in _ALL}
