@@ -4,12 +4,13 @@ A word is a stretch of text that the tokenizer never joins with its neighbours:
 line feed between two characters that are no white space, behind such a line feed, or between an ASCII letter or digit
 and a stop mark.  The ids of a text are then the ids of its words, one after the other, and so is the decoded text.
 
-Texts are held in numbered chunks.  A chunk asks for each of its distinct words once, so a word that every text holds
+Texts are read in chunks.  A chunk asks for each of its distinct words once, so a word that every text holds
 reaches the shuffle as one entry for each chunk; entries travel in packed rows, one for each chunk and bucket of words.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crewmetrics.llm.scratch import written
 from crewmetrics.llm.tokens import Encoder
 from crewmetrics.llm.words import buffers, mixed, slices, text_column
 
@@ -70,94 +70,95 @@ def _hashed(words: pa.Array) -> np.ndarray:
     return mixed((sums[bounds[1:]] - sums[bounds[:-1]]) * back[bounds[:-1]])
 
 
-def _pack(**columns: pa.Array) -> bytes:
-    batch, sink = pa.RecordBatch.from_pydict(columns), pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
+def _squeezed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**32, byte plane by byte plane, as small ones are frequent."""
+    return zstandard.ZstdCompressor(3).compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
-def _unpack(packed: pa.Scalar) -> pa.RecordBatch:
-    return pa.ipc.open_stream(packed.as_buffer()).read_next_batch()
+def _widened(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
-def _squeezed(numbers: np.ndarray) -> bytes:
-    """Small numbers, byte plane by byte plane, as frequent ones are the smallest."""
-    return zstandard.ZstdCompressor(3).compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+def _packed(values: pa.Array) -> bytes:
+    """Binary values: the size of their lengths, the lengths, the bytes."""
+    data, bounds = buffers(values)
+    lengths = _squeezed(np.diff(bounds))
+    return len(lengths).to_bytes(4, "little") + lengths + zstandard.ZstdCompressor(3).compress(data.tobytes())
 
 
-def _widened(packed: pa.Scalar) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed.as_py()), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+def _unpacked(packed: pa.Scalar) -> pa.Array:
+    raw = packed.as_py()
+    size = int.from_bytes(raw[:4], "little")
+    starts = np.concatenate(([0], np.cumsum(_widened(raw[4 : 4 + size]).astype(np.int64))))
+    return _binary(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[4 + size :]), np.uint8), starts[:-1])
 
 
-def split_words(docs: DataFrame, buckets: int, key: str, text: str) -> DataFrame:
-    """The texts as chunks of word numbers, beside each chunk's distinct words by bucket; a written table.
+def chunks(docs: DataFrame, buckets: int, key: str, text: str, ask: bool) -> DataFrame:
+    """The texts chunk by chunk: the distinct words that a chunk asks for, or the numbers of its words.
 
-    ``chunk, keys, firsts`` (word bounds of the texts), ``codes`` (each word's number, by falling frequency), ``owner`` (the
-    bucket of each number), ``parts`` (bucket and its words, by number).
+    ``chunk, bucket, words`` (a row for each bucket), or ``chunk, keys, firsts`` (word bounds of the texts), ``codes`` (each
+    word's number, by falling frequency), ``owner`` (the bucket of each number).  A chunk's name holds a digest of its texts.
     """
-    names = ["chunk", "keys", "firsts", "codes", "owner", "parts"]
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"chunk string, keys array<{kind}>, firsts binary, codes binary, owner binary, parts array<struct<bucket:int,words:binary>>"
+    schema = "chunk string, bucket int, words binary" if ask else f"chunk string, keys array<{kind}>, firsts binary, codes binary, owner binary"
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
         for batch in batches:
             for part in slices(batch, text, CHUNK_BYTES):
                 data, bounds = buffers(text_column(part.column(text)))
+                digest = hashlib.blake2b(data.tobytes() + bounds.tobytes(), digest_size=8).hexdigest()
                 starts = word_starts(data, bounds)
                 coded = _binary(data, starts).dictionary_encode()
                 codes, held = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
                 order = pc.sort_indices(held).to_numpy(zero_copy_only=False).astype(np.int64)
                 order = order[np.argsort(-np.bincount(codes, minlength=len(held))[order], kind="stable")]
-                rank = np.empty(len(order), np.uint32)
-                rank[order] = np.arange(len(order), dtype=np.uint32)
                 held = held.take(pa.array(order))
                 owner = (_hashed(held) % np.uint64(buckets)).astype(np.int64)
-                by_bucket = np.argsort(owner, kind="stable")
-                edges = np.searchsorted(owner[by_bucket], np.arange(buckets + 1))
-                grouped = held.take(pa.array(by_bucket))
-                parts = [
-                    {"bucket": b, "words": _pack(w=pa.concat_arrays([grouped.slice(edges[b], edges[b + 1] - edges[b])]))}
-                    for b in range(buckets) if edges[b + 1] > edges[b]
-                ]
-                keys = part.column(key)
-                row = [
-                    pa.array([f"{task}-{number}"]), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys),
-                    pa.array([_squeezed(np.searchsorted(starts, bounds))], pa.binary()), pa.array([_squeezed(rank[codes])], pa.binary()),
-                    pa.array([_squeezed(owner)], pa.binary()), pa.array([parts], pa.list_(pa.struct([("bucket", pa.int32()), ("words", pa.binary())]))),
-                ]
                 number += 1
-                yield pa.RecordBatch.from_arrays(row, names)
-
-    return written(docs.select(key, text).mapInArrow(split, schema), "none")
-
-
-def _asked(chunks: DataFrame) -> DataFrame:
-    return chunks.select("chunk", F.inline("parts"))
+                name = f"{task}-{number}-{digest}"
+                if ask:
+                    grouped = held.take(pa.array(np.argsort(owner, kind="stable")))
+                    counts = np.bincount(owner, minlength=buckets)
+                    ends = np.cumsum(counts)
+                    asked = np.flatnonzero(counts)
+                    words = [_packed(grouped.slice(ends[b] - counts[b], counts[b])) for b in asked]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(asked)), pa.array(asked.astype(np.int32)), pa.array(words, pa.binary())], ["chunk", "bucket", "words"])
+                    continue
+                rank = np.empty(len(order), np.uint32)
+                rank[order] = np.arange(len(order), dtype=np.uint32)
+                keys, packed = part.column(key), [_squeezed(x) for x in (np.searchsorted(starts, bounds), rank[codes], owner)]
+                row = [pa.array([name]), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), *(pa.array([x], pa.binary()) for x in packed)]
+                yield pa.RecordBatch.from_arrays(row, ["chunk", "keys", "firsts", "codes", "owner"])
 
+    return docs.select(key, text).mapInArrow(split, schema)
 
-def _all(column: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
-    """The words of all rows, and each row's bounds in them."""
-    held = [_unpack(x).column("w") for x in column]
-    return pa.concat_arrays(held), np.concatenate(([0], np.cumsum([len(x) for x in held])))
 
+def word_table(asked: DataFrame, tokenizer: str) -> DataFrame:
+    """The distinct words by bucket, each encoded once, beside which of them each chunk asks for, in its order.
 
-def word_table(chunks: DataFrame, tokenizer: str) -> DataFrame:
-    """The distinct words, each encoded once: ``bucket, words, ids`` (packed alike) and ``used``, the distinct ids; a written table."""
+    A bucket is a row ``words, ids, asked`` (array of chunk and places in ``words``), and a row for each ``id`` in use.
+    """
+    schema = "bucket int, id int, words binary, ids binary, asked array<struct<chunk:string,places:binary>>"
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.struct([("chunk", pa.string()), ("places", pa.binary())]))]
 
     def encode(table: pa.Table) -> pa.Table:
-        words = _all(table["words"])[0].unique()
-        ids, bounds = Encoder.of(tokenizer).ids_of_pieces(words)
+        held = [_unpacked(x) for x in table["words"]]
+        coded = pa.concat_arrays(held).dictionary_encode()
+        places = np.split(coded.indices.to_numpy(zero_copy_only=False), np.cumsum([len(x) for x in held])[:-1])
+        ids, bounds = Encoder.of(tokenizer).ids_of_pieces(coded.dictionary)
         ids = ids.astype("<u4")
-        return pa.table({
-            "bucket": table["bucket"].slice(0, 1).cast(pa.int32()), "words": pa.array([_pack(w=words)], pa.binary()),
-            "ids": pa.array([_pack(i=_binary(ids.view(np.uint8), bounds[:-1] * 4))], pa.binary()),
-            "used": pa.array([np.unique(ids).astype(np.int32)], pa.list_(pa.int32())),
-        })
+        used = np.unique(ids).astype(np.int32)
+        whole = [{"chunk": c, "places": _squeezed(p)} for c, p in zip(table["chunk"].to_pylist(), places, strict=True)]
+        none, bucket = [None] * len(used), table["bucket"][0].as_py()
+        columns = [
+            [bucket] * (1 + len(used)), [None, *used.tolist()], [_packed(coded.dictionary), *none],
+            [_packed(_binary(ids.view(np.uint8), bounds[:-1] * 4)), *none], [whole, *none],
+        ]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["bucket", "id", "words", "ids", "asked"])
 
-    return written(_asked(chunks).groupBy("bucket").applyInArrow(encode, "bucket int, words binary, ids binary, used array<int>"), "none")
+    return asked.groupBy("bucket").applyInArrow(encode, schema)
 
 
 def _byte_of() -> dict[str, int]:
@@ -181,24 +182,32 @@ def pieces(spark: SparkSession, tokenizer: str) -> DataFrame:
     return spark.createDataFrame(sorted(rows), "id int, piece binary")
 
 
-def with_pieces(table: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """The word table with ``decoded``, each word's bytes: the ids in use are joined with their pieces."""
-    found = table.select("bucket", F.explode("used").alias("id")).join(F.broadcast(vocabulary), "id")
-    found = found.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("id", "piece"))).alias("found"))
+def replies(table: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``chunk, bucket, ids, known, pieces``: what each chunk asked for; the ids in use are joined with their pieces."""
+    joined = table.select("bucket", "id", "ids", "asked").join(F.broadcast(vocabulary), "id", "left")
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for row in range(batch.num_rows):
-                held = batch.column("found").slice(row, 1).flatten()
-                known, piece = (pc.struct_field(held, f) for f in ("id", "piece"))
-                data, bounds = buffers(_unpack(batch.column("ids")[row]).column("i"))
-                at = np.searchsorted(known.to_numpy(), data.view("<u4"))
-                raw, ends = buffers(pc.take(piece, pa.array(at)))
-                out.append(_pack(d=_binary(raw, ends[bounds[:-1] // 4])))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("bucket", "words", "ids")] + [pa.array(out, pa.binary())], ["bucket", "words", "ids", "decoded"])
+    def reply(rows: pa.Table) -> pa.Table:
+        at = int(np.flatnonzero(rows["id"].is_null().to_numpy(zero_copy_only=False))[0])
+        ids, asked = _unpacked(rows["ids"][at]), rows["asked"][at].as_py()
+        found = rows.filter(rows["id"].is_valid()).sort_by("id").combine_chunks()
+        known = found["id"].to_numpy()
+        piece = pa.concat_arrays(found["piece"].chunks) if len(known) else pa.array([], pa.binary())
+        out = []
+        for a in asked:
+            own = pc.take(ids, pa.array(_widened(a["places"]).astype(np.int64)))
+            used = np.unique(buffers(own)[0].view("<u4"))
+            out.append((a["chunk"], rows["bucket"][at].as_py(), _packed(own), _squeezed(used), _packed(pc.take(piece, pa.array(np.searchsorted(known, used))))))
+        kinds = [pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.table([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["chunk", "bucket", "ids", "known", "pieces"])
+
+    return joined.groupBy("bucket").applyInArrow(reply, "chunk string, bucket int, ids binary, known binary, pieces binary")
 
-    return table.select("bucket", "words", "ids").join(found, "bucket").mapInArrow(decode, "bucket int, words binary, ids binary, decoded binary")
+
+def _decoded(ids: pa.Array, known: np.ndarray, piece: pa.Array) -> pa.Array:
+    """The bytes of words from the pieces of their ids."""
+    data, bounds = buffers(ids)
+    raw, ends = buffers(pc.take(piece, pa.array(np.searchsorted(known, data.view("<u4")))))
+    return _binary(raw, ends[bounds[:-1] // 4])
 
 
 def encode_decode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -207,51 +216,43 @@ def encode_decode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: st
     ``tokenizer`` is the file of a byte-level BPE that executors can open; special strings inside a text become their id.
     A null text is empty: no ids, an empty decoded text.  Repeated rows and null keys are kept, other columns are not
     read, an empty table gives an empty result.  A text is held whole by one task, as its row is.
+
+    ``docs`` is read twice and must give the same rows in the same order, as files do; write the result of a shuffle
+    as a table first.  A chunk that reads differently gets no answer, which raises.
     """
     spark, kind = docs.sparkSession, docs.schema[key].dataType
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-    chunks = split_words(docs, buckets, key, text)
-    table = with_pieces(word_table(chunks, tokenizer), pieces(spark, tokenizer))
-
-    def reply(asked: pa.Table, table: pa.Table) -> pa.Table:
-        words, bounds = _all(asked["words"])
-        held = _unpack(table["words"][0]).column("w")
-        at = pc.index_in(words, value_set=held)
-        ids, decoded = (pc.take(_unpack(table[c][0]).column(0), at) for c in ("ids", "decoded"))
-        cut = lambda x, a, b: _pack(x=pa.concat_arrays([x.slice(a, b - a)]))
-        spans = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
-        return pa.table({
-            "chunk": asked["chunk"], "bucket": asked["bucket"].cast(pa.int32()),
-            "ids": pa.array([cut(ids, *s) for s in spans], pa.binary()), "decoded": pa.array([cut(decoded, *s) for s in spans], pa.binary()),
-        })
-
-    replies = _asked(chunks).groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(reply, "chunk string, bucket int, ids binary, decoded binary")
+    found = replies(word_table(chunks(docs, buckets, key, text, True), tokenizer), pieces(spark, tokenizer))
     schema = T.StructType([T.StructField(key, kind), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
-    def place(rows: pa.Table, replies: pa.Table) -> pa.Table:
+    def place(rows: pa.Table, found: pa.Table) -> pa.Table:
         out = []
-        order = np.argsort(replies["bucket"].to_numpy()) if replies.num_rows else []
         for row in range(rows.num_rows):
-            keys = rows["keys"].chunk(0).slice(row, 1).flatten() if rows["keys"].num_chunks == 1 else rows["keys"].combine_chunks().slice(row, 1).flatten()
-            firsts, codes, owner = (_widened(rows[c][row]) for c in ("firsts", "codes", "owner"))
+            keys = rows["keys"].combine_chunks().slice(row, 1).flatten()
+            firsts, codes, owner = (_widened(rows[c][row].as_py()) for c in ("firsts", "codes", "owner"))
             firsts = firsts.astype(np.int64)
             if not len(codes):
                 empty = pa.ListArray.from_arrays(pa.array(np.zeros(len(keys) + 1, np.int32)), pa.array([], pa.int32()))
                 out.append(pa.table([keys, empty, pa.array([""] * len(keys), pa.string())], schema.names))
                 continue
+            order = np.argsort(found["bucket"].to_numpy()).tolist() if found.num_rows else []
+            held = [_unpacked(found["ids"][i]) for i in order]
+            if sum(map(len, held)) != len(owner):
+                raise ValueError("the documents changed between two readings: write them as a table first")
+            held = pa.concat_arrays(held)
+            known, at = np.unique(np.concatenate([_widened(found["known"][i].as_py()) for i in order]), return_index=True)
+            piece = pc.take(pa.concat_arrays([_unpacked(found["pieces"][i]) for i in order]), pa.array(at))
             number = np.empty(len(owner), np.int64)
             number[np.argsort(owner, kind="stable")] = np.arange(len(owner))
-            at = pa.array(number[codes])
-            flat = lambda c: buffers(pc.take(pa.concat_arrays([_unpack(replies[c][int(i)]).column("x") for i in order]), at))
-            data, bounds = flat("ids")
+            places = pa.array(number[codes])
+            data, bounds = buffers(pc.take(held, places))
             ids = pa.ListArray.from_arrays(pa.array((bounds[firsts] // 4).astype(np.int32)), pa.array(data.view("<i4")))
-            raw, ends = flat("decoded")
+            raw, ends = buffers(pc.take(_decoded(held, known, piece), places))
             out.append(pa.table([keys, ids, _texts(raw, ends[firsts])], schema.names))
         return pa.concat_tables(out)
 
-    whole = chunks.select("chunk", "keys", "firsts", "codes", "owner")
-    return whole.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(place, schema)
+    return chunks(docs, buckets, key, text, False).groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(place, schema)
 
 
 def _texts(raw: np.ndarray, bounds: np.ndarray) -> pa.Array:

@@ -1,12 +1,16 @@
 """Ids and decoded texts against the tokenizers library on whole texts."""
 
 import hashlib
+import os
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from crewmetrics.llm import bpe, queries
+from crewmetrics.llm.scratch import written
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -23,10 +27,10 @@ def plain(text):
 
 def test_as_the_library(shared, odd):
     rows = [(i if i % 5 else None, x, "own") for i, x in enumerate(TEXTS)] * 2  # null keys and repeated rows
-    docs = shared.createDataFrame(rows, "doc_id long, text string, chunk string").repartition(3)
+    docs = written(shared.createDataFrame(rows, "doc_id long, text string, chunk string").repartition(3))
     found = sorted((r.doc_id or -1, tuple(r.ids), r.decoded) for r in bpe.encode_decode(docs, PATH).collect())
     assert found == sorted((r[0] or -1, *plain(r[1])) for r in rows)
-    found = {r.key: (tuple(r.ids), r.decoded) for r in bpe.encode_decode(odd.drop("key").withColumnRenamed("doc_id", "key"), PATH, key="key").collect()}
+    found = {r.key: (tuple(r.ids), r.decoded) for r in bpe.encode_decode(written(odd.drop("key").withColumnRenamed("doc_id", "key")), PATH, key="key").collect()}
     assert found == {r.doc_id: plain(r.text) for r in odd.select("doc_id", "text").collect()}
 
 
@@ -40,10 +44,21 @@ def test_string_keys_and_empty_tables(shared):
 
 
 def test_each_distinct_word_is_encoded_once(shared, documents):
-    table = bpe.word_table(bpe.split_words(documents.repartition(4), 8, "doc_id", "text"), PATH).collect()
-    words = [w for r in table for w in bpe._unpack(bpe.pa.scalar(bytes(r.words), bpe.pa.binary())).column("w").to_pylist()]
+    table = bpe.word_table(bpe.chunks(written(documents.repartition(4)), 8, "doc_id", "text", True), PATH).where("id IS NULL").collect()
+    words = [w for r in table for w in bpe._unpacked(pa.scalar(bytes(r.words), pa.binary())).to_pylist()]
     assert len(words) == len(set(words)) > 1000
-    assert sorted(r.bucket for r in table) == sorted({r.bucket for r in table})
+    assert len(table) == len({r.bucket for r in table}) == 8
+    assert len({a.chunk for r in table for a in r.asked}) == 4
+
+
+def test_an_input_that_reads_differently_raises(shared):
+    def fresh(batches):
+        for batch in batches:
+            yield batch.assign(text=[f"w{os.urandom(4).hex()}" for _ in range(len(batch))])
+
+    docs = shared.range(40, numPartitions=2).withColumnRenamed("id", "doc_id").mapInPandas(fresh, "doc_id long, text string")
+    with pytest.raises(Exception, match="changed between two readings"):
+        bpe.encode_decode(docs, PATH).collect()
 
 
 def test_ids_that_stand_for_no_text():
