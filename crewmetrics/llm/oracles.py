@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _WORD = r"[^\x20\x09-\x0D]+"
 
 SUBSTRING_DEDUP = f"""
@@ -107,4 +108,56 @@ SELECT n.page_id, n.host, n.path, own.rule,
 FROM named n LEFT JOIN own USING (page_id) LEFT JOIN by_alias ON by_alias.a = n.page LEFT JOIN roots ON roots.a = n.page
 """
 
-ORACLES = {"op2_substring_dedup": SUBSTRING_DEDUP, "op4_url_filters": URL_FILTERS, "op6_minhash_near_dup": NEAR_DUP, "op8_warc": WARC}
+_CRC = "[CASE WHEN x = 0 THEN unicode(substr(conv_id::VARCHAR, 1 + i::INTEGER, 1)) ELSE -1 END FOR x IN range(0, 9)]"
+
+PREFIX_TRIE = f"""
+WITH own AS (
+  SELECT conv_id, list(sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))
+                       ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS turns,
+         list(strlen(coalesce(text, ''))
+              ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS sizes
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+),
+steps AS (SELECT conv_id, flatten([{_CRC} FOR i IN range(0, strlen(conv_id::VARCHAR))]) AS step FROM own),
+taken AS (
+  SELECT conv_id, xor(list_reduce(step, lambda c, o: CASE WHEN o >= 0 THEN xor(c, o) ELSE xor(c >> 1, 3988292384 * (c & 1)) END, 4294967295::BIGINT), 4294967295::BIGINT) % 9 AS h
+  FROM (SELECT conv_id, [x::BIGINT FOR x IN step] AS step FROM steps)
+),
+rebuilt AS (
+  SELECT o.conv_id, list_concat(coalesce(b.turns, [])[1:h], o.turns[h + 1:]) AS turns, list_concat(coalesce(b.sizes, [])[1:h], o.sizes[h + 1:]) AS sizes
+  FROM own o JOIN taken USING (conv_id) LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 5
+),
+places AS (SELECT conv_id, turns, sizes, unnest(range(0, len(turns) + 1)) AS depth FROM rebuilt),
+nodes AS (
+  SELECT depth, CASE WHEN depth > 0 THEN turns[1:depth] ELSE [] END AS path, min(conv_id) AS conv_id, count(*) AS n_convs,
+         coalesce(any_value(sizes[depth]), 0) AS size,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(turns) = depth), '')) AS ends_sha256
+  FROM places GROUP BY ALL
+),
+children AS (SELECT path[1:depth - 1] AS path, depth - 1 AS depth, count(*) AS n_children FROM (SELECT path, depth FROM nodes WHERE depth > 0) GROUP BY ALL),
+whole AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children c ON c.depth = n.depth AND c.path = n.path),
+above AS (SELECT CASE WHEN up > 0 THEN path[1:up] ELSE [] END AS path, up AS depth, n_children, n_convs, size FROM (SELECT *, unnest(range(0, depth + 1)) AS up FROM whole)),
+sums AS (SELECT path, depth, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * size)::BIGINT AS saved_tokens FROM above GROUP BY ALL)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM whole n JOIN sums s ON s.depth = n.depth AND s.path = n.path LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.path = n.path[1:n.depth - 1]
+"""
+
+RANKED_SEARCH = f"""
+WITH found AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_TERM}')) AS term FROM documents
+),
+counts AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM found GROUP BY ALL),
+lengths AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM counts GROUP BY ALL),
+whole AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM lengths),
+weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM counts, whole GROUP BY term, n_docs),
+marks AS (SELECT doc_id, 100 - 50 + ((50 * n * n_docs) // n_terms) AS m FROM lengths, whole),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_TERM}')) AS term FROM benchmark),
+scores AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM asked JOIN counts USING (term) JOIN weights USING (term) JOIN marks USING (doc_id) GROUP BY item_id, doc_id
+),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+ORACLES = {"op11_prefix_trie": PREFIX_TRIE, "op13_ranked_search": RANKED_SEARCH, "op2_substring_dedup": SUBSTRING_DEDUP, "op4_url_filters": URL_FILTERS, "op6_minhash_near_dup": NEAR_DUP, "op8_warc": WARC}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crewmetrics.llm import bpe, decontaminate, lm_scoring, near_dup, packing, pii, quality, substring_dedup, token_counts, url_filters, warc
+from crewmetrics.llm import bpe, decontaminate, lm_scoring, near_dup, packing, pii, prefix_trie, quality, ranked_search, substring_dedup, token_counts, url_filters, warc
 from crewmetrics.llm.oracles import ORACLES  # noqa: F401
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -65,6 +65,12 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"), TOKENIZER, limit=1024)
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    conv = F.col("conv")
+    taken = (F.crc32(conv.cast("string").cast("binary")) % 9).cast("int")
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"), base=conv - conv % 5, taken=taken, most=8)
+
+
 def op12_bpe(spark: SparkSession, folder: str) -> DataFrame:
     rows = bpe.encode_decode(table(spark, folder, "documents"), TOKENIZER)
     return rows.select(
@@ -73,8 +79,13 @@ def op12_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    index = ranked_search.build(table(spark, folder, "documents"))
+    return ranked_search.search(index, table(spark, folder, "benchmark"), k=50)
+
+
 _ALL = [
     op1_pii_surrogates, op2_substring_dedup, op3_benchmark_decontamination, op4_url_filters, op5_lm_scoring, op6_minhash_near_dup, op7_best_fit_packing,
-    op8_warc, op9_quality_rules, op10_token_counts, op12_bpe,
+    op8_warc, op9_quality_rules, op10_token_counts, op11_prefix_trie, op12_bpe, op13_ranked_search,
 ]
 QUERIES = {f.__name__: f for f in _ALL}
