@@ -26,7 +26,7 @@ from crewmetrics.llm.tokens import Encoder
 from crewmetrics.llm.words import buffers, mixed, slices, text_column
 
 #: bytes of text in a chunk, and for one bucket of words
-CHUNK_BYTES, BUCKET_BYTES = 16 << 20, 32 << 20
+CHUNK_BYTES, BUCKET_BYTES = 12 << 20, 8 << 20
 #: the id-to-piece table is broadcast: a vocabulary with more entries is refused
 MAX_VOCABULARY = 2_000_000
 
@@ -108,7 +108,8 @@ def chunks(docs: DataFrame, buckets: int, key: str, text: str, ask: bool) -> Dat
         for batch in batches:
             for part in slices(batch, text, CHUNK_BYTES):
                 data, bounds = buffers(text_column(part.column(text)))
-                digest = hashlib.blake2b(data.tobytes() + bounds.tobytes(), digest_size=8).hexdigest()
+                digest = hashlib.blake2b(np.ascontiguousarray(data), digest_size=8)
+                digest.update(bounds)
                 starts = word_starts(data, bounds)
                 coded = _binary(data, starts).dictionary_encode()
                 codes, held = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
@@ -117,7 +118,7 @@ def chunks(docs: DataFrame, buckets: int, key: str, text: str, ask: bool) -> Dat
                 held = held.take(pa.array(order))
                 owner = (_hashed(held) % np.uint64(buckets)).astype(np.int64)
                 number += 1
-                name = f"{task}-{number}-{digest}"
+                name = f"{task}-{number}-{digest.hexdigest()}"
                 if ask:
                     grouped = held.take(pa.array(np.argsort(owner, kind="stable")))
                     counts = np.bincount(owner, minlength=buckets)
@@ -222,7 +223,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: st
     """
     spark, kind = docs.sparkSession, docs.schema[key].dataType
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    buckets = max(1, -(-size // BUCKET_BYTES))
     found = replies(word_table(chunks(docs, buckets, key, text, True), tokenizer), pieces(spark, tokenizer))
     schema = T.StructType([T.StructField(key, kind), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
