@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crewmetrics.operators import tfidf
+from crewmetrics.operators.buckets import BucketIndex
 from crewmetrics.operators.model import AttritionModel
 from crewmetrics.operators.retrieval import CHUNK_KEY, Index, chunks
 from crewmetrics.functions import text as tx
@@ -47,6 +48,20 @@ def load_index(spark: SparkSession, path: str) -> Index:
     return Index(chunk, vocab, vector, meta["dim"])
 
 
+def save_buckets(index: BucketIndex, path: str) -> None:
+    """Write the buckets of an approximate search, table by table, so that a table is read by its folder."""
+    index.rows.write.mode("overwrite").partitionBy("table").parquet(f"{path}/rows")
+    meta = {name: getattr(index, name) for name in ("key", "dim", "tables", "bits", "seed", "metric")}
+    _write_text(index.rows.sparkSession, meta, f"{path}/meta")
+
+
+def load_buckets(spark: SparkSession, path: str) -> BucketIndex:
+    if not exists(spark, f"{path}/meta"):
+        raise FileNotFoundError(f"no buckets at {path}")
+    rows = spark.read.parquet(f"{path}/rows")
+    return BucketIndex(rows, **_read_text(spark, f"{path}/meta"))
+
+
 def save_model(model: AttritionModel, path: str) -> None:
     """The fitted pipeline and, as JSON, its inputs and measures."""
     model.pipeline.write().overwrite().save(f"{path}/pipeline")

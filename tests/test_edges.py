@@ -86,6 +86,5 @@ def test_registered_names():
     without_sql = set(BY_NAME) - set(ORACLES)
     assert without_sql == {
         "themes_nmf", "theme_terms", "attrition_scores", "boosted_scores", "linear_importance", "permutation_importance",
-        "knn_approximate",
     }
     assert all(set(path) <= set(ref.CAREER_REQUIREMENTS) for path in ref.CAREER_PATHS.values())

