@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crewmetrics.operators.knn import checked, knn, ranked, result_schema, scored, scorer
+from crewmetrics.plans.scratch import written
 
 #: corpus rows that a bucket should hold, from which the number of lines follows
 BUCKET_ROWS = 1000
@@ -121,6 +122,7 @@ def probes(index: BucketIndex, queries: DataFrame, first: int, last: int) -> Dat
 def search(index: BucketIndex, queries: DataFrame, *, query_key: str = "query_id", k: int = 4, visits: int = 8) -> DataFrame:
     """(query_id, rank, key, score): about the ``k`` nearest rows of each query, with exact scores, ties by key.
 
+    Rounds are run here, one after the other; what a round finds is written (``plans.scratch``), at most ``k`` rows for each query.
     Every query with a vector gets the smaller of ``k`` and the corpus size; query ids must be unique.  ``visits`` buckets
     of each table are looked at first, up to ``MORE`` times as many by queries that found too little.  More visits, tables or
     rows to a bucket find more of the true neighbours and compare more pairs.
@@ -138,12 +140,15 @@ def search(index: BucketIndex, queries: DataFrame, *, query_key: str = "query_id
         full = found.groupBy("query_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= k)
         return asked.join(full, "query_id", "left_anti")
 
-    near = round_(queries, 0, visits)
-    again = short(queries, near)
-    more = round_(again, visits, visits * MORE)
-    both = ranked(near.unionByName(more).distinct(), k, metric, key).drop("rank")
-    exact = knn(index.corpus(), short(again, both), key=key, k=k, metric=metric, dim=index.dim).drop("rank")
-    return ranked(both.unionByName(exact).distinct(), k, metric, key)
+    found, left, first = None, queries, 0
+    for last in (visits, visits * MORE):
+        near = written(round_(left, first, last))
+        found = near if found is None else ranked(found.unionByName(near).distinct(), k, metric, key).drop("rank")
+        left, first = short(queries, found), last
+        if left.isEmpty():
+            return ranked(found, k, metric, key)
+    exact = knn(index.corpus(), left, key=key, k=k, metric=metric, dim=index.dim).drop("rank")
+    return ranked(found.unionByName(exact).distinct(), k, metric, key)
 
 
 def compared(index: BucketIndex, queries: DataFrame, *, query_key: str = "query_id", visits: int = 8) -> DataFrame:

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from crewmetrics import reference as ref
 from crewmetrics.operators.features import skill_levels
 from crewmetrics.plans.constants import bind, constant
-from crewmetrics.plans.sizes import small_side
 from crewmetrics.plans.skew import attach_groups
 from crewmetrics.schemas import require
 
@@ -183,15 +182,9 @@ def recommend_mentors(
         F.min_by(person, F.when(F.col("_rank") > r, F.col("ordinal"))) for r in range(max(seniority.values()) + 1)
     ]
     ranked = employees.withColumn("_rank", rank)
-    own = ranked.where(F.col("practice").isNotNull()).groupBy("practice").agg(F.array(*above).alias("_own"))
     anyone = ranked.agg(F.array(*above).alias("a")).scalar()
-    # employees of few practices would meet in as few tasks: move the candidates, not the employees
-    held = small_side(own)
-    if held is not None:
-        joined = ranked.join(held, "practice", "left")
-    else:
-        joined = attach_groups(ranked, ["practice"], {"_own": F.array(*above)})
-    joined = joined.withColumn("_any", anyone)
+    # employees of few practices would meet in as few tasks
+    joined = attach_groups(ranked, ["practice"], {"_own": F.array(*above)}).withColumn("_any", anyone)
     pick = F.coalesce(F.get("_own", F.col("_rank")), F.get("_any", F.col("_rank")))
     joined = joined.withColumn("_m", pick)
     mentor = F.struct(

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crewmetrics.plans.prefix import by_value, running_totals
+from crewmetrics.plans.scratch import written
 
 
 def auc_exact(scored: DataFrame, score: str, label: str) -> DataFrame:
@@ -31,31 +34,74 @@ def auc_exact(scored: DataFrame, score: str, label: str) -> DataFrame:
     return scored.sparkSession.createDataFrame([(auc,)], "auc double")
 
 
-def medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
-    """Exact medians; values are counted first, so a frequent value is one row.
+#: the bits of a double that one pass settles, highest first
+_DIGITS = (20, 22, 22)
 
-    The list is a handful of features, each taking a few small jobs over the kept columns.
-    """
-    narrow = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return {c: _median(narrow, c) for c in columns}
-    finally:
-        narrow.unpersist()
 
+def _sortable(values: np.ndarray) -> np.ndarray:
+    """Doubles as unsigned numbers in the same order; -0.0 is 0.0, NaN comes last."""
+    bits = np.where(np.isnan(values), np.nan, values + 0.0).view(np.int64)
+    return (bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))).view(np.uint64) ^ np.uint64(1 << 63)
 
-def _median(df: DataFrame, column: str) -> float | None:
-    counted = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
-    counted = counted.persist(StorageLevel.MEMORY_AND_DISK)
-    n = counted.agg(F.sum("_n")).first()[0]
-    if not n:
-        return None
-    placed = running_totals(by_value(counted, "_v"), [F.col("_v")], {"_before": "_n"})
-    last = F.col("_before") + F.col("_n")
-    lower, upper = (n - 1) // 2, n // 2
-    middle = ((F.col("_before") <= lower) & (last > lower)) | ((F.col("_before") <= upper) & (last > upper))
-    found = placed.where(middle).agg(F.avg("_v")).first()[0]
-    counted.unpersist()
-    return found
+
+def _double(number: int) -> float:
+    bits = (number ^ (1 << 63)) & ((1 << 64) - 1)
+    bits = bits - (1 << 64) if bits >> 63 else bits
+    return float(np.array([bits ^ ((bits >> 63) & 0x7FFFFFFFFFFFFFFF)], np.int64).view(np.float64)[0])
+
+
+def medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
+    """Exact medians of all columns together; null without values.
+
+    The columns are written once.  Three passes settle the middle values of all columns digit by digit, as a radix sort would: a
+    pass counts the next bits of the values that begin as the wanted ones do, tasks count before the shuffle, and two
+    digits for each column come back.  No value is sorted and the number of passes hangs neither on the rows nor on the columns.
+    """
+    narrow = written(df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]))
+    settled = [0] * (2 * len(columns))  # the bits so far of the lower and the upper middle value of each column
+    ranks: list[int | None] = [None] * len(settled)
+    known, done = set(range(len(settled))), 0
+    for width in _DIGITS:
+        found = _digits(narrow, settled, ranks, known, done, width).collect()
+        known = {r.side for r in found}
+        for r in found:
+            settled[r.side], ranks[r.side] = settled[r.side] << width | r.digit, r.rank - r.before
+        done += width
+    out = {}
+    for i, c in enumerate(columns):
+        low, high = (_double(settled[2 * i + j]) if 2 * i + j in known else None for j in (0, 1))
+        out[c] = low if low is None or low == high else (low + high) / 2.0
+    return out
+
+
+def _digits(narrow: DataFrame, settled: list[int], ranks: list[int | None], known: set[int], done: int, width: int) -> DataFrame:
+    """``side, digit, rank, before``: the next digit of each wanted value, its rank, and how many values come before the digit."""
+    shift, seen = np.uint64(64 - done - width), np.uint64(64 - done)
+    sides = sorted(known)
+
+    def count(batches):
+        for batch in batches:
+            for side in sides:
+                values = batch.column(side // 2).drop_null().to_numpy(zero_copy_only=False)
+                bits = _sortable(values)
+                if done:
+                    bits = bits[(bits >> seen) == np.uint64(settled[side])]
+                digit, n = np.unique((bits >> shift) & np.uint64((1 << width) - 1), return_counts=True)
+                if len(digit):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(digit), side, np.int32)), pa.array(digit.astype(np.int64)), pa.array(n.astype(np.int64))], ["side", "digit", "n"]
+                    )
+
+    counted = narrow.mapInArrow(count, "side int, digit long, n long").groupBy("side", "digit").agg(F.sum("n").alias("n"))
+    # at most as many rows as a digit has values
+    upto = Window.partitionBy("side").orderBy("digit")
+    whole = Window.partitionBy("side")
+    # the middle of n values: (n - 1) / 2 and n / 2, cut
+    rank = F.floor((F.sum("n").over(whole) - 1 + F.col("side") % 2) / 2)
+    if done:
+        rank = F.get(F.array(*[F.lit(r).cast("long") for r in ranks]), F.col("side"))
+    placed = counted.withColumn("before", F.sum("n").over(upto) - F.col("n")).withColumn("rank", rank)
+    return placed.where((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("n"))).select("side", "digit", "rank", "before")
 
 
 def classification_report(scored: DataFrame, label: str, predicted: str) -> DataFrame:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crewmetrics.operators.evaluate import medians as exact_medians
 from crewmetrics.operators.model import LINEAR, AttritionModel, scored
+from crewmetrics.operators.orders import numbered, split_starts
 from crewmetrics.operators.selection import among
-
-GROUP_ROWS = 4096
+from crewmetrics.plans.scratch import written
 
 
 def linear_importance(model: AttritionModel, spark) -> DataFrame:
@@ -22,40 +23,34 @@ def linear_importance(model: AttritionModel, spark) -> DataFrame:
     return table.orderBy(F.col("importance").desc(), "feature")
 
 
-def permutation_importance(
-    model: AttritionModel, features: DataFrame, repeats: int = 5, seed: int = 42, group_rows: int = GROUP_ROWS
-) -> DataFrame:
+def permutation_importance(model: AttritionModel, features: DataFrame, repeats: int = 5, seed: int = 42) -> DataFrame:
     """(feature, importance, std): mean and deviation of the accuracy lost when a column is shuffled.
 
-    A repeat deals the rows by hash into groups of about ``group_rows`` and passes every value to
-    the next row of a random order in its group.  That needs one shuffle for all features of all
-    repeats, no global sort, and no task holds more than a group.
+    Key, label and inputs are written once as a narrow table, whose rows get dense numbers.  In each repeat a keyed one-to-one
+    map of the numbers sends the inputs of every row to another row (``orders.permuted``), without a sort, so a column is
+    shuffled over all rows.  Rows and what they were sent meet by number in one join; the accuracies of all features,
+    all repeats and the unchanged rows come from one pass over the model, however many features there are.
     """
-    label, key, inputs = model.label, model.key, model.inputs
-    rows = features.where(F.col(label).isNotNull()).select(key, label, *inputs)
-    groups = max(1, rows.count() // group_rows)
-    dealt = (
-        rows.withColumn("_rep", F.explode(F.array(*[F.lit(i) for i in range(repeats)])))
-        .withColumn("_h", F.xxhash64(F.col(key), F.col("_rep"), F.lit(seed)))
-        .withColumn("_g", F.pmod(F.xxhash64("_h", F.lit(seed)), F.lit(groups)))
-    )
-    order = Window.partitionBy("_rep", "_g").orderBy("_h", key)
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    packed = F.struct(*inputs)
-    moved = dealt.withColumn("_other", F.coalesce(F.lag(packed).over(order), F.last(packed).over(whole)))
-    variants = moved.withColumn("_f", F.explode(F.array(*[F.lit(name) for name in inputs]))).select(
-        "_rep",
-        "_f",
-        label,
-        *[F.when(F.col("_f") == c, F.col("_other")[c]).otherwise(F.col(c)).alias(c) for c in inputs],
-    )
-    correct = F.avg((F.col("prediction") == F.col(label)).cast("double"))
-    base = model.pipeline.transform(rows).agg(correct.alias("a")).scalar()
-    accuracy = model.pipeline.transform(variants).groupBy("_f", "_rep").agg(correct.alias("_a"))
-    lost = accuracy.withColumn("_lost", base - F.col("_a")).groupBy(F.col("_f").alias("feature"))
-    return lost.agg(F.avg("_lost").alias("importance"), F.stddev_pop("_lost").alias("std")).orderBy(
-        F.col("importance").desc(), "feature"
+    label, inputs = model.label, model.inputs
+    rows = written(features.where(F.col(label).isNotNull()).select(label, *inputs))
+    starts, n = split_starts(rows)
+    keys = [seed * 1_000_003 + repeat for repeat in range(repeats)]
+    sent = numbered(rows.select(*inputs), starts, moved="_rep", n=n, keys=keys)
+    met = numbered(rows, starts).join(sent.select("_number", "_rep", F.struct(*inputs).alias("_other")), "_number")
+    shuffled = met.withColumn("_f", F.explode(F.array(*[F.lit(name) for name in inputs]))).select(
+        "_rep", "_f", label, *[F.when(F.col("_f") == c, F.col("_other")[c]).otherwise(F.col(c)).alias(c) for c in inputs],
     )
+    unchanged = rows.select(F.lit(-1).alias("_rep"), F.lit("").alias("_f"), label, *inputs)
+    right = F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("a")
+    # a row for each feature and repeat, and one more
+    found = model.pipeline.transform(shuffled.unionByName(unchanged)).groupBy("_f", "_rep").agg(right).collect()
+    accuracy = {(r["_f"], r["_rep"]): r.a for r in found}
+    out = []
+    for name in inputs:
+        lost = [accuracy["", -1] - accuracy[name, r] for r in range(repeats)] if n else []
+        out.append((name, float(np.mean(lost)) if lost else None, float(np.std(lost)) if lost else None))
+    table = features.sparkSession.createDataFrame(out, "feature string, importance double, std double")
+    return table.orderBy(F.col("importance").desc(), "feature")
 
 
 def top_features(importance: list[dict], n: int = 5) -> list[dict]:

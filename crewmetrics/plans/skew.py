@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_KEYS = 10_000
+#: parts into which the rows of a group are dealt; one bit of a long for each
+SALTS = 64
 
 
 def attach_groups(
@@ -13,30 +14,27 @@ def attach_groups(
 ) -> DataFrame:
     """``df`` with ``row_columns`` per row and ``results`` per group of ``keys``.
 
-    ``results`` may use the row columns.  Group results come from one aggregate, whose partial sums
-    are formed before its shuffle.  They go back to the rows on two ways: a key with more than
-    1 / ``HOT_KEYS`` of all rows is hot; there cannot be more than ``HOT_KEYS`` of them, so their
-    results are broadcast and their rows stay where they are.  The rows of all other keys are joined
-    by key, where no key can be large.  (Adaptive skew handling would not split this join: the
-    aggregate stands between it and the shuffle.)  Rows without a key get null results.
+    ``results`` may use the row columns.  One aggregate, whose partial sums are formed before its shuffle, gives the results
+    of a group and, as the bits of a number, into which of ``SALTS`` parts a hash of their columns deals its rows.  A result
+    goes to each part that exists, so there are never more of them than rows, and rows and results are joined by key
+    and part: a group with a third of all rows is spread over many tasks.  Copies of one row share a part, which adaptive
+    execution can split further, as both sides of the join are shuffled for it.  The table is read twice, and the plan is
+    the same at every size.  Rows without a key get null results.
     """
     row_columns = row_columns or {}
     known = F.lit(True)
     for key in keys:
         known = known & F.col(key).isNotNull()
+    salted = df.withColumn("_part", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
+    present = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_part")))
     stats = (
-        df.where(known)
+        salted.where(known)
         .withColumns(row_columns)
         .groupBy(*keys)
-        .agg(F.count("*").alias("_rows"), *[column.alias(name) for name, column in results.items()])
+        .agg(present.alias("_parts"), *[column.alias(name) for name, column in results.items()])
     )
-    total = df.agg(F.count("*").alias("n")).scalar()
-    hot = stats.where(F.col("_rows") * F.lit(HOT_KEYS) > total).withColumn("_hot", F.lit(True))
-    marked = df.join(F.broadcast(hot), keys, "left")
-    is_hot = F.coalesce(F.col("_hot"), F.lit(False))
+    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    held = F.filter(every, lambda part: F.getbit("_parts", part) == 1)
+    spread = stats.withColumn("_part", F.explode(held)).drop("_parts")
     columns = [*df.columns, *[name for name in row_columns if name not in df.columns]]
-    at_place = marked.where(is_hot | ~known).withColumns(row_columns).select(*columns, *results)
-    others = marked.where(~is_hot & known).select(*df.columns).withColumns(row_columns)
-    # the size stays in use, so that both ways read the same aggregate
-    joined = others.join(stats.where(F.col("_rows") > 0), keys, "left").select(*columns, *results)
-    return at_place.unionByName(joined)
+    return salted.withColumns(row_columns).join(spread, [*keys, "_part"], "left").select(*columns, *results)

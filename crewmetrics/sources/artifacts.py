@@ -8,7 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crewmetrics.operators import tfidf
+from crewmetrics.operators import postings, tfidf
 from crewmetrics.operators.buckets import BucketIndex
 from crewmetrics.operators.model import AttritionModel
 from crewmetrics.operators.retrieval import CHUNK_KEY, Index, chunks
@@ -29,6 +29,7 @@ def build_and_save(
     vocab = tfidf.vocabulary(arrays, max_features)
     vocab.write.mode("overwrite").parquet(f"{path}/vocab")
     tfidf.vectors(arrays, vocab, CHUNK_KEY).write.mode("overwrite").parquet(f"{path}/vectors")
+    _write_postings(postings.build(spark.read.parquet(f"{path}/vectors"), CHUNK_KEY), path)
     _write_text(spark, {"dim": max_features}, f"{path}/meta")
     return load_index(spark, path)
 
@@ -37,6 +38,7 @@ def save_index(index: Index, path: str) -> None:
     """Write an index that was built elsewhere."""
     for name in ("chunks", "vocab", "vectors"):
         getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    _write_postings(index.postings, path)
     _write_text(index.chunks.sparkSession, {"dim": index.dim}, f"{path}/meta")
 
 
@@ -44,8 +46,14 @@ def load_index(spark: SparkSession, path: str) -> Index:
     if not exists(spark, f"{path}/meta"):
         raise FileNotFoundError(f"no index at {path}")
     meta = _read_text(spark, f"{path}/meta")
-    chunk, vocab, vector = (spark.read.parquet(f"{path}/{n}") for n in ("chunks", "vocab", "vectors"))
-    return Index(chunk, vocab, vector, meta["dim"])
+    chunk, vocab, vector, posting = (spark.read.parquet(f"{path}/{n}") for n in ("chunks", "vocab", "vectors", "postings"))
+    return Index(chunk, vocab, vector, posting, meta["dim"])
+
+
+def _write_postings(made: DataFrame, path: str) -> None:
+    # the shards' numbers are those of the tasks: written as they are, then put in order of term
+    made.write.mode("overwrite").parquet(f"{path}/shards")
+    postings.arranged(made.sparkSession.read.parquet(f"{path}/shards")).write.mode("overwrite").parquet(f"{path}/postings")
 
 
 def save_buckets(index: BucketIndex, path: str) -> None:

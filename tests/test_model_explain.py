@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from crewmetrics.operators import evaluate, explain, model
+from crewmetrics.operators import evaluate, explain, model, orders
 from crewmetrics.plans import prefix
 from crewmetrics.sources import artifacts
 
@@ -59,11 +59,12 @@ def test_linear_model_matches_its_objective(spark, people, linear):
 def test_importance_drivers_explanations(spark, people, linear):
     rows = explain.linear_importance(linear, spark).collect()
     assert [r.feature for r in rows] == ["up", "down", "noise"] and rows[0].coefficient > 0 > rows[1].coefficient
-    shuffled = {r.feature: r for r in explain.permutation_importance(linear, people, group_rows=100).collect()}
+    shuffled = {r.feature: r for r in explain.permutation_importance(linear, people).collect()}
     assert shuffled["up"].importance > shuffled["down"].importance > 0.02 > abs(shuffled["noise"].importance)
     assert shuffled["up"].std >= 0
-    whole = {r.feature: r.importance for r in explain.permutation_importance(linear, people).collect()}
-    assert whole["up"] == pytest.approx(shuffled["up"].importance, abs=0.05)
+    other = {r.feature: r.importance for r in explain.permutation_importance(linear, people, seed=7).collect()}
+    assert other["up"] == pytest.approx(shuffled["up"].importance, abs=0.05)
+    assert {r.importance for r in explain.permutation_importance(linear, people.limit(0)).collect()} == {None}
     told = explain.explain_model(linear, people, ["e1"]).first()
     assert [d.feature for d in told.top_drivers] == ["up", "down", "noise"]
     assert told.top_drivers[0].description == "high up" and told.top_drivers[1].direction == "low"
@@ -103,6 +104,58 @@ def test_boosted_and_categorical(spark, people):
         model.train(people.drop("left_company"))
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 97, 1000, 4096])
+def test_permutations_are_one_to_one(n):
+    numbers = np.arange(n)
+    one, other = orders.permuted(numbers, n, 1), orders.permuted(numbers, n, 2)
+    assert sorted(one) == sorted(other) == list(range(n))
+    if n > 90:
+        assert (one == numbers).mean() < 0.05 and (one == other).mean() < 0.05 and abs(np.corrcoef(numbers, one)[0, 1]) < 0.3
+        assert (orders.permuted(numbers[5:9], n, 1) == one[5:9]).all()
+
+
+def test_numbers_are_dense_and_moves_are_permutations(spark, tmp_path):
+    spark.range(1000, numPartitions=7).write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    starts, n = orders.split_starts(rows)
+    own = {r._number: r.id for r in orders.numbered(rows, starts).collect()}
+    assert n == 1000 and sorted(own) == list(range(1000)) and sorted(own.values()) == list(range(1000))
+    sent = orders.numbered(rows, starts, moved="_rep", n=n, keys=[5, 6]).collect()
+    for rep in (0, 1):
+        assert sorted(r._number for r in sent if r._rep == rep) == list(range(1000))
+        assert {r.id: r._number for r in sent if r._rep == rep} == {own[i]: int(j) for i, j in enumerate(orders.permuted(np.arange(1000), 1000, 5 + rep))}
+
+
+def jobs_of(spark, work) -> int:
+    """Jobs that ``work`` starts."""
+    group = f"g{id(work)}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        work()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_jobs_do_not_grow_with_the_features(spark, people, linear):
+    wide = people.select("*", *[(F.col("up") * i).alias(f"f{i}") for i in range(12)])
+    one, many = (jobs_of(spark, lambda c=c: evaluate.medians(wide, c)) for c in (["up"], ["up", "down", *[f"f{i}" for i in range(12)]]))
+    assert many == one
+    broad = model.train(wide, numeric=["up", "down", "noise", *[f"f{i}" for i in range(1, 12)]], evaluate=False)
+    assert jobs_of(spark, lambda: explain.permutation_importance(broad, wide)) <= jobs_of(spark, lambda: explain.permutation_importance(linear, people)) + 1
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.floats(allow_nan=False, width=64), st.sampled_from([0.0, -0.0, 1.5])), max_size=25))
+def test_medians_of_any_doubles(spark, values):
+    df = spark.createDataFrame([(v, 1.0, None) for v in values], "a double, b double, c double").repartition(3)
+    known = sorted(v for v in values if v is not None)
+    low, high = (known[(len(known) - 1) // 2], known[len(known) // 2]) if known else (None, None)
+    got = evaluate.medians(df, ["a", "b", "c"])
+    assert got["a"] == (low if low == high else (low + high) / 2.0)
+    assert got["b"] == (1.0 if values else None) and got["c"] is None
+
+
 def plain_auc(scores, labels):
     pos = [s for s, y in zip(scores, labels) if y]
     neg = [s for s, y in zip(scores, labels) if not y]
