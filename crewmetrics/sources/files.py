@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crewmetrics.plans.sizes import at_most
+from crewmetrics.sources import delimited
 
 SINGLE_FILE_ROWS = 100_000
 SPLIT_BYTES = 128 * 1024 * 1024
@@ -28,73 +29,60 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return [entry.getPath().getName() for entry in system.listStatus(at)]
 
 
-def with_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:
-    """Row numbers that rise in file order; rules that say "first row" refer to them."""
-    return df.withColumn(name, F.monotonically_increasing_id())
-
-
-def leading_comment(spark: SparkSession, path: str | list[str], comment: str = "#") -> bool:
-    """Whether the first line that Spark reads of a path is a comment."""
-    first = spark.read.text(path).first()
-    return first is not None and first["value"].startswith(comment)
-
-
 def read_csv(
     spark: SparkSession,
     path: str | list[str],
     schema: T.StructType | None = None,
     ordinal: bool = False,
     comment: str = "#",
-    multiline: bool = True,
+    multiline: bool | None = None,
+    seen: Observation | None = None,
 ) -> DataFrame:
     """CSV with a header.  Without a schema one more pass infers types.
 
-    ``#`` lines are skipped only in files that begin with one; elsewhere a value may begin with ``#``.  Quoted values
-    may hold line breaks, for which a file is read by one task: ``multiline=False`` splits large files that have none.
+    ``#`` lines before the header are skipped in each file, later ones are rows.  The header must name the schema's columns in
+    their order, in every file.  Quoted values may hold line breaks; then a file is read by one task, else it is split.
+    ``ordinal`` numbers the rows in the order of file names and rows.  ``seen`` counts what could not be read.
     """
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multiline)
-    if leading_comment(spark, path, comment):
-        reader = reader.option("comment", comment)
-    # types come from the schema, names from it as well: a header in another order is an error
-    reader = reader.schema(schema).option("enforceSchema", False) if schema else reader.option("inferSchema", True)
-    df = reader.csv(path)
-    return with_ordinal(df) if ordinal else df
+    some = delimited.Files(spark, path, comment=comment)
+    if schema:
+        _expect(some, schema.fieldNames())
+    return delimited.read(some, {f.name: f.dataType for f in schema} if schema else None, ordinal, multiline, seen)
+
+
+def _expect(some: delimited.Files, names: list[str]) -> None:
+    header = some.header()
+    if header != names:
+        raise ValueError(f"the header of {some.path} is {header}, not {names}")
 
 
 def read_declared_csv(
-    spark: SparkSession, path: str, declared: T.StructType, optional: set[str] = frozenset(), ordinal: bool = False
+    spark: SparkSession, path: str, declared: T.StructType, optional: set[str] = frozenset(), ordinal: bool = False, seen: Observation | None = None,
 ) -> DataFrame:
     """A CSV file of a known table: declared types by column name, in the file's own column order.
 
     Columns beyond the declared ones are kept as text; a missing one is an error unless optional.
     """
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
-    header = (reader.option("comment", "#") if leading_comment(spark, path) else reader).csv(path).columns
+    some = delimited.Files(spark, path)
+    header = some.header() or []
     missing = [f.name for f in declared if f.name not in header and f.name not in optional]
     if missing:
         raise ValueError(f"missing columns {missing}; present: {header}")
-    types = {f.name: f.dataType for f in declared}
-    schema = T.StructType([T.StructField(name, types.get(name, T.StringType())) for name in header])
-    return read_csv(spark, path, schema, ordinal)
+    return delimited.read(some, {f.name: f.dataType for f in declared}, ordinal, seen=seen)
 
 
 def read_csv_matching(
-    spark: SparkSession, folder: str, pattern: str, schema: T.StructType | None = None
+    spark: SparkSession, folder: str, pattern: str, schema: T.StructType | None = None, seen: Observation | None = None,
 ) -> DataFrame:
     """All CSV files below ``folder`` whose name matches a glob such as ``*employees*{csv,csv.gz}``.
 
-    A header with other names than the schema's, or in another order, is an error.  ``#`` lines are skipped.
+    A header with other names than the schema's, or in another order, is an error.  ``#`` lines before a file's header are
+    skipped, later ones are rows.
     """
-    reader = (
-        spark.read.option("header", True)
-        .option("comment", "#")
-        .option("escape", '"')
-        .option("multiLine", True)
-        .option("pathGlobFilter", pattern)
-        .option("recursiveFileLookup", True)
-    )
-    reader = reader.schema(schema).option("enforceSchema", False) if schema else reader.option("inferSchema", True)
-    return reader.csv(folder)
+    some = delimited.Files(spark, folder, pattern)
+    if schema:
+        _expect(some, schema.fieldNames())
+    return delimited.read(some, {f.name: f.dataType for f in schema} if schema else None, seen=seen)
 
 
 def read_parquet(

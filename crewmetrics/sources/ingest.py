@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from crewmetrics import reference as ref
 from crewmetrics import schemas
 from crewmetrics.functions.masking import mask_columns, pii_columns
+from crewmetrics.sources.delimited import unread
 from crewmetrics.sources.files import exists, read_csv, read_declared_csv, write_parquet
 
 STATUS = "file string, table string, status string, message string"
@@ -25,7 +26,8 @@ def ingest(
     """Read, mask and write each known file to ``target/<table>`` as parquet.
 
     A missing file is skipped and a bad one does not stop the others.  The run succeeded if at
-    least one status is ``created`` (see ``succeeded``).
+    least one status is ``created`` (see ``succeeded``).  Values that are not of their column's type become null; how many, and
+    how many rows have another number of fields, stands in the message.
     """
     status = []
     for name, table in (files or ref.INGEST_FILES).items():
@@ -37,14 +39,17 @@ def ingest(
             schema = schemas.TABLES.get(table)
             # the order of catalog, skill and employee rows decides between equal candidates
             ordered = table in ("ld_catalog", "skills", "employees")
+            seen = Observation()
             if schema is None:
-                df = read_csv(spark, path, ordinal=ordered)
+                df = read_csv(spark, path, ordinal=ordered, seen=seen)
             else:
-                df = read_declared_csv(spark, path, schema, schemas.OPTIONAL.get(table, set()), ordered)
+                df = read_declared_csv(spark, path, schema, schemas.OPTIONAL.get(table, set()), ordered, seen)
+            names = [c for c in df.columns if not (ordered and c == "ordinal")]
             if mask:
                 df = mask_columns(df, pii_columns(df, compat), salt)
             write_parquet(df, f"{target.rstrip('/')}/{table}")
-            status.append((name, table, "created", ""))
+            # counted while the table was written
+            status.append((name, table, "created", unread(seen, names)))
         except Exception as error:  # noqa: BLE001 - reported in the status row
             status.append((name, table, "failed", str(error).splitlines()[0][:500]))
     return spark.createDataFrame(status, STATUS)

@@ -161,6 +161,54 @@ def test_csv_of_another_header_is_refused(spark, tmp_path):
         files.read_csv_matching(spark, str(tmp_path), "*employees*", schemas.SURVEYS).collect()
 
 
+def test_only_lines_before_the_header_are_comments(spark, tmp_path):
+    body = "# exported, today\n# by \"someone\"\nemployee_id,month,free_text,rating\n#7,2025-05,hello,5\nE_1,2025-05,#x,4\n# last,,,\n"
+    (tmp_path / "s.csv").write_text(body)
+    want = [("#7", "2025-05", "hello", 5.0), ("E_1", "2025-05", "#x", 4.0), ("# last", None, None, None)]
+    for multiline in (None, True, False):
+        got = files.read_csv(spark, str(tmp_path / "s.csv"), schemas.SURVEYS, multiline=multiline).collect()
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    (tmp_path / "t.csv").write_text("employee_id,month,free_text,rating\n#8,2025-06,x,1\n")
+    both = files.read_csv(spark, [str(tmp_path / "s.csv"), str(tmp_path / "t.csv")], schemas.SURVEYS)
+    assert both.count() == 4 and files.read_csv_matching(spark, str(tmp_path), "*.csv", schemas.SURVEYS).count() == 4
+
+
+def test_rows_are_numbered_in_the_order_of_files(spark, tmp_path):
+    """Spark reads the larger file first, and splits it; the numbers follow names and rows all the same."""
+    (tmp_path / "a.csv").write_text("# small\nn,x\n1,a\n2,a\n")
+    (tmp_path / "b.csv").write_text("n,x\n" + "".join(f"{i},{'b' * 50}\n" for i in range(3, 3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        got = files.read_csv(spark, [str(tmp_path / "b.csv"), str(tmp_path / "a.csv")], ordinal=True)
+        assert got.rdd.getNumPartitions() > 1
+        assert [r.n for r in got.orderBy("ordinal").collect()] == list(range(1, 3000))
+        assert [r.ordinal for r in got.orderBy("ordinal").collect()] == list(range(2999))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_unreadable_values_are_counted(spark, tmp_path):
+    source, target = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    (source / "timesheets.csv").write_text("employee_id,week,hours\nE_1,2025-W01,forty\nE_2,2025-W01,38.5\nE_3,2025-W01\nE_4,2025-W01,,\nE_5,2025-W01, 40 \n")
+    (source / "surveys.csv").write_text('employee_id,month,free_text,rating\nE_1,2025-05,"a\nb",4\n')
+    status = {r.table: (r.status, r.message) for r in ingest.ingest(spark, str(source), target, "s").collect()}
+    assert status["timesheets"] == ("created", "1 unreadable values in hours; 2 rows with another number of fields")
+    assert status["surveys"] == ("created", "")
+    assert sorted(r.hours or 0 for r in files.read_parquet(spark, f"{target}/timesheets").collect()) == [0, 0, 0, 38.5, 40.0]
+    assert files.read_parquet(spark, f"{target}/surveys").first().free_text == "a\nb"
+
+
+def test_types_are_inferred(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("i,l,d,day,at,yes,t,e\n1,5000000000,1.5,2024-01-02,2024-01-02 03:04:05,true,x,\n,2,3,,,False,4,\n")
+    got = files.read_csv(spark, str(tmp_path / "x.csv"))
+    assert dict(got.dtypes) == {"i": "int", "l": "bigint", "d": "double", "day": "date", "at": "timestamp", "yes": "boolean", "t": "string", "e": "string"}
+    assert got.where("i = 1").first().day == date(2024, 1, 2)
+    (tmp_path / "none.csv").write_text("# nothing\n")
+    with pytest.raises(ValueError, match="header"):
+        files.read_csv(spark, str(tmp_path / "none.csv"))
+
+
 def test_tables(spark, sample, tmp_path):
     sheets = write(tmp_path, "timesheets") + "/timesheets.csv"
     spark.sql(f"CREATE DATABASE IF NOT EXISTS crew LOCATION '{tmp_path}/crew'")
