@@ -118,7 +118,7 @@ def batch(
     records = files.read_parquet(spark, f"{out}/records")
     files.write_json(records, f"{out}/next_steps_json")
     rows = next_steps.saved_rows(records, F.current_timestamp() if created_at is None else created_at)
-    saved = snapshots.upsert_snapshot(rows, f"{out}/next_steps")
+    saved = snapshots.upsert_buckets(rows, f"{out}/next_steps")
     newest = next_steps.latest_per_key(saved, "employee_id", [F.col("created_at").desc()])
     files.write_csv(newest.drop("recommendations_json"), f"{out}/saved_rows_csv")
     return teams, saved

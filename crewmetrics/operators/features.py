@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from crewmetrics import reference as ref
 from crewmetrics.functions import text as tx
 from crewmetrics.plans.constants import constant
+from crewmetrics.plans.prefix import by_value
 from crewmetrics.plans.skew import attach_groups
 from crewmetrics.schemas import has, require
 
@@ -91,33 +92,28 @@ def pto_spike(timesheets: DataFrame, baseline: float = BASELINE_HOURS, share: fl
     return attach_groups(timesheets, ["employee_id"], {"pto_spike_rate": F.avg("pto_spike")}, flag)
 
 
-def internal_moves(
-    history: DataFrame, ts: str = "changed_at", role: str = "role", tie: str | None = None, span: str = "day"
-) -> DataFrame:
-    """Role changes per employee in a history table.
+def internal_moves(history: DataFrame, ts: str = "changed_at", role: str = "role", tie: str | None = None) -> DataFrame:
+    """Role changes per employee in a history table, in the order of time, then of ``tie``.
 
-    Changes are counted inside (employee, calendar span) groups; then the last role of each span
-    is compared with the first of the next.  The long history of one employee is split over its
-    spans, and the second window only sees one row per span.
+    The summary of a stretch of history (first role, last role, changes inside) can be merged with that of the next.  The
+    stretches are ranges of time with about as many rows each (``plans.prefix``), so one employee's history, a single day of
+    it included, is split where its rows are; the second window only sees one row per employee and stretch.
     """
-    order = F.struct(*[c for c in (ts, tie) if c])
-    spanned = history.where(F.col("employee_id").isNotNull()).select(
-        "employee_id",
-        F.date_trunc(span, F.col(ts)).alias("_span"),
-        order.alias("_at"),
-        F.col(role).alias("_role"),
+    at = F.col(ts).try_cast("timestamp").cast("double")
+    rows = history.where(F.col("employee_id").isNotNull()).select(
+        "employee_id", at.alias("_t"), F.struct(at.alias("t"), *[F.col(c) for c in (ts, tie) if c]).alias("_at"), F.col(role).alias("_role")
     )
-    inside = Window.partitionBy("employee_id", "_span").orderBy("_at")
-    counted = spanned.withColumn("_moved", (F.col("_role") != F.lag("_role").over(inside)).cast("int"))
-    spans = counted.groupBy("employee_id", "_span").agg(
+    inside = Window.partitionBy("employee_id", "_range").orderBy("_at")
+    counted = by_value(rows, "_t").withColumn("_moved", (F.col("_role") != F.lag("_role").over(inside)).cast("int"))
+    stretches = counted.groupBy("employee_id", "_range").agg(
         F.sum(F.coalesce("_moved", F.lit(0))).alias("_inside"),
         F.min_by("_role", "_at").alias("_first"),
         F.max_by("_role", "_at").alias("_last"),
     )
-    between = Window.partitionBy("employee_id").orderBy("_span")
+    between = Window.partitionBy("employee_id").orderBy("_range")
     crossed = (F.col("_first") != F.lag("_last").over(between)).cast("int")
     return (
-        spans.withColumn("_cross", F.coalesce(crossed, F.lit(0)))
+        stretches.withColumn("_cross", F.coalesce(crossed, F.lit(0)))
         .groupBy("employee_id")
         .agg(F.sum(F.col("_inside") + F.col("_cross")).cast("int").alias("internal_moves"))
     )

@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crewmetrics import reference as ref
+from crewmetrics.plans.constants import bind
 from crewmetrics.schemas import has
 
-REPLY = (
-    "employee_id string, attrition_risk double, recommendations array<string>, owner string, "
-    "suggested_check_in_weeks int, _bad string"
-)
+#: fields of a reply that have a type
+REPLY = {
+    "employee_id": "string", "attrition_risk": "double", "recommendations": "array<string>", "owner": "string", "suggested_check_in_weeks": "int",
+}
 
 
 def weakest_skills(skills: DataFrame, n: int = 2) -> DataFrame:
@@ -74,17 +75,34 @@ def person_prompts(people: DataFrame, skills: DataFrame) -> DataFrame:
 
 
 def parse_reply(reply: Column) -> Column:
-    """The reply as a struct, or null where it is not a JSON object."""
-    parsed = F.from_json(reply, REPLY, {"columnNameOfCorruptRecord": "_bad"})
-    return F.when(parsed["_bad"].isNull() & F.startswith(F.ltrim(reply), F.lit("{")), parsed)
+    """The reply as a struct, or null where it is not a JSON object (a name twice makes it none).
+
+    Each field is read by itself: one that is missing or of another type is null and spoils no other.  ``other_fields`` holds
+    what has no typed field, and the fields that did not fit their type, as they came (map<string,variant>).
+    """
+
+    def read(parsed: Column) -> Column:
+        fields = [F.try_variant_get(parsed, f"$.{name}", kind).alias(name) for name, kind in REPLY.items()]
+        whole = F.try_variant_get(parsed, "$", "map<string,variant>")
+
+        def other(name: Column, value: Column) -> Column:
+            unread = F.lit(False)
+            for known, kind in REPLY.items():
+                misfit = F.try_variant_get(parsed, f"$.{known}", kind).isNull() & ~F.is_variant_null(value)
+                unread = unread | ((name == known) & misfit)
+            return unread | ~name.isin(list(REPLY))
+
+        return F.when(whole.isNotNull(), F.struct(*fields, F.map_filter(whole, other).alias("other_fields")))
+
+    return bind(F.try_parse_json(reply), read)
 
 
 def next_steps(people: DataFrame, skills: DataFrame, replies: DataFrame | None = None) -> DataFrame:
     """One record per person.
 
     ``replies`` (employee_id, response), if given, holds a model's answers: a JSON object
-    supplies the fields, any other text is kept as ``model_response``, and a person without an
-    answer gets the rule-based steps.
+    supplies the fields and, as ``other_fields``, all that it says beside them; any other text is kept as
+    ``model_response``, and a person without an answer gets the rule-based steps.
     """
     joined = people.join(weakest_skills(skills), "employee_id", "left")
     rules = _recommendations(F.coalesce(F.array_join("weak_skills", ", "), F.lit("")))
@@ -93,6 +111,7 @@ def next_steps(people: DataFrame, skills: DataFrame, replies: DataFrame | None =
         answer = {
             "attrition_risk": own_risk, "recommendations": rules, "owner": F.lit("manager"),
             "suggested_check_in_weeks": F.lit(6), "model_response": F.lit(None).cast("string"),
+            "other_fields": F.lit(None).cast("map<string,variant>"),
         }
     else:
         joined = joined.join(replies.select("employee_id", "response"), "employee_id", "left")
@@ -105,6 +124,7 @@ def next_steps(people: DataFrame, skills: DataFrame, replies: DataFrame | None =
             "owner": F.coalesce(reply["owner"], F.lit("manager")),
             "suggested_check_in_weeks": F.coalesce(reply["suggested_check_in_weeks"], F.lit(6)),
             "model_response": F.when(~silent & reply.isNull(), F.col("response")),
+            "other_fields": reply["other_fields"],
         }
     return joined.select(
         "employee_id",
@@ -148,7 +168,12 @@ def latest_per_key(df: DataFrame, key: str, newest_first: list[Column]) -> DataF
 def upsert(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
     """Rows of ``target`` whose key is not in ``source``, and all rows of ``source``.
 
-    ``source`` must hold a key once; reduce it with ``latest_per_key`` first if it may not.
+    ``source`` must hold a key once, or the job fails; reduce it with ``latest_per_key`` first if it may not.  Rows without
+    a key match nothing and are added.
     """
+    copies = F.count("*").over(Window.partitionBy(key))
+    message = F.concat(F.lit(f"{key} occurs more than once in the source: "), F.col(key).cast("string"))
+    once = F.when(F.col(key).isNotNull() & (F.col("_copies") > 1), F.raise_error(message)).otherwise(F.lit(True))
+    source = source.withColumn("_copies", copies).where(once.cast("boolean")).drop("_copies")
     kept = target.join(source.select(key), key, "left_anti").select(*target.columns)
     return kept.unionByName(source.select(*[c for c in target.columns if has(source, c)]), allowMissingColumns=True)

@@ -14,7 +14,8 @@ def by_value(df: DataFrame, order: str) -> DataFrame:
     """Adds ``_range``, the range number of a numeric column, about ``RANGE_ROWS`` rows each.
 
     The range bounds are approximate quantiles and only balance the work.  They are fixed literals
-    afterwards, so every scan of the plan, a retried task included, puts a row into the same range.
+    afterwards, so every scan of the plan, a retried task included, puts a row into the same range.  Rows without a value
+    are range -1.
     """
     ranges = min(MAX_RANGES, df.count() // RANGE_ROWS + 1)
     bounds = []
@@ -23,8 +24,9 @@ def by_value(df: DataFrame, order: str) -> DataFrame:
         bounds = sorted(set(df.stat.approxQuantile(order, steps, 1.0 / (4 * ranges))))
     splits = [-float("inf"), *bounds, float("inf")]
     if len(splits) < 3:
-        return df.withColumn("_range", F.lit(0))
-    return Bucketizer(splits=splits, inputCol=order, outputCol="_range").transform(df)
+        return df.withColumn("_range", F.when(F.col(order).isNull(), -1.0).otherwise(0.0))
+    ranged = Bucketizer(splits=splits, inputCol=order, outputCol="_range", handleInvalid="keep").transform(df)
+    return ranged.withColumn("_range", F.when(F.col(order).isNull(), -1.0).otherwise(F.col("_range")))
 
 
 def by_hash(df: DataFrame, *columns: str, bits: int = 12) -> DataFrame:

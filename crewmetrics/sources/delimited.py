@@ -2,7 +2,7 @@
 
 Files are parsed as text fields.  A pass over the rows of each split then drops the ``#`` lines before a file's header and the
 header itself, which must be the same in all files; later rows may begin with ``#``.  Types come from a schema or from one
-more pass, and values that do not fit become null and are counted while the rows are written (``Observation``).  Files
+more pass, and values that do not fit become null; another pass counts them where that is asked for.  Files
 are split among tasks unless a quoted value holds a line break, which one pass over the lines finds out.
 """
 
@@ -12,7 +12,7 @@ import csv as csv_format
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -107,14 +107,12 @@ def _with_ordinal(rows: DataFrame) -> DataFrame:
     return rows.join(before, [_FILE, _BLOCK]).withColumn("ordinal", F.col("_start") + F.col(_POSITION))
 
 
-def read(
-    files: Files, types: dict[str, T.DataType] | None, ordinal: bool = False, multiline: bool | None = None, seen: Observation | None = None,
-) -> DataFrame:
-    """The rows of some files, typed by column name; columns without a type stay text, without ``types`` all are inferred.
+def read(files: Files, types: dict[str, T.DataType] | None, ordinal: bool = False, multiline: bool | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows of some files, typed by column name, and one row that counts what could not be read.
 
-    ``multiline`` says whether quoted values hold line breaks, by default one pass finds out.  ``seen`` counts, while the
-    result is computed for the first time, ``rows``, ``broken`` rows with too few or too many fields, and the values of each
-    column that are not of its type (``bad`` by position).
+    Columns without a type stay text, without ``types`` all are inferred.  ``multiline`` says whether quoted values hold line
+    breaks, by default one pass finds out.  The counts are ``broken`` rows with too few or too many fields, and the values of each
+    column that are not of its type, under its name; they are computed only if they are asked for.
     """
     names = files.header()
     if names is None:
@@ -122,23 +120,18 @@ def read(
     rows = files.fields(names, files.broken_quotes() if multiline is None else multiline)
     if types is None:
         types = {f.name: f.dataType for f in _inferred(rows, names)}
-    if ordinal:
-        rows = _with_ordinal(rows)
-    typed, bad = [], []
+    typed, bad = [], [F.count_if(F.col(_BROKEN)).alias("broken")]
     for i, name in enumerate(names):
         field, kind = F.col(f"c{i}"), types.get(name, T.StringType())
         value = field if isinstance(kind, T.StringType) else F.trim(field).try_cast(kind)
         typed.append(value.alias(name))
         bad.append(F.count_if((F.trim(field) != "") & value.isNull()).alias(f"bad_{i}"))
-    if seen is not None:
-        rows = rows.observe(seen, F.count("*").alias("rows"), F.count_if(F.col(_BROKEN)).alias("broken"), *bad)
-    return rows.select(*typed, *["ordinal"] * ordinal)
+    counts = rows.agg(*bad).toDF("broken", *[f"values in {name}" for name in names])
+    return (_with_ordinal(rows) if ordinal else rows).select(*typed, *["ordinal"] * ordinal), counts
 
 
-def unread(seen: Observation, names: list[str]) -> str:
+def unread(counts: DataFrame) -> str:
     """What could not be read, in words; empty if nothing."""
-    counts = seen.get
-    parts = [f"{counts[f'bad_{i}']} unreadable values in {name}" for i, name in enumerate(names) if counts.get(f"bad_{i}")]
-    if counts.get("broken"):
-        parts.append(f"{counts['broken']} rows with another number of fields")
-    return "; ".join(parts)
+    found = counts.first()
+    parts = [f"{n} unreadable {name}" for name, n in zip(counts.columns[1:], found[1:], strict=True) if n]
+    return "; ".join(parts + [f"{found[0]} rows with another number of fields"] * (found[0] > 0))

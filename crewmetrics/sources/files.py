@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,18 +36,20 @@ def read_csv(
     ordinal: bool = False,
     comment: str = "#",
     multiline: bool | None = None,
-    seen: Observation | None = None,
-) -> DataFrame:
+    counts: bool = False,
+) -> DataFrame | tuple[DataFrame, DataFrame]:
     """CSV with a header.  Without a schema one more pass infers types.
 
     ``#`` lines before the header are skipped in each file, later ones are rows.  The header must name the schema's columns in
     their order, in every file.  Quoted values may hold line breaks; then a file is read by one task, else it is split.
-    ``ordinal`` numbers the rows in the order of file names and rows.  ``seen`` counts what could not be read.
+    ``ordinal`` numbers the rows in the order of file names and rows.  With ``counts`` a row that counts what could not be read
+    (``delimited.read``) comes as well.
     """
     some = delimited.Files(spark, path, comment=comment)
     if schema:
         _expect(some, schema.fieldNames())
-    return delimited.read(some, {f.name: f.dataType for f in schema} if schema else None, ordinal, multiline, seen)
+    read = delimited.read(some, {f.name: f.dataType for f in schema} if schema else None, ordinal, multiline)
+    return read if counts else read[0]
 
 
 def _expect(some: delimited.Files, names: list[str]) -> None:
@@ -57,8 +59,8 @@ def _expect(some: delimited.Files, names: list[str]) -> None:
 
 
 def read_declared_csv(
-    spark: SparkSession, path: str, declared: T.StructType, optional: set[str] = frozenset(), ordinal: bool = False, seen: Observation | None = None,
-) -> DataFrame:
+    spark: SparkSession, path: str, declared: T.StructType, optional: set[str] = frozenset(), ordinal: bool = False, counts: bool = False,
+) -> DataFrame | tuple[DataFrame, DataFrame]:
     """A CSV file of a known table: declared types by column name, in the file's own column order.
 
     Columns beyond the declared ones are kept as text; a missing one is an error unless optional.
@@ -68,12 +70,13 @@ def read_declared_csv(
     missing = [f.name for f in declared if f.name not in header and f.name not in optional]
     if missing:
         raise ValueError(f"missing columns {missing}; present: {header}")
-    return delimited.read(some, {f.name: f.dataType for f in declared}, ordinal, seen=seen)
+    read = delimited.read(some, {f.name: f.dataType for f in declared}, ordinal)
+    return read if counts else read[0]
 
 
 def read_csv_matching(
-    spark: SparkSession, folder: str, pattern: str, schema: T.StructType | None = None, seen: Observation | None = None,
-) -> DataFrame:
+    spark: SparkSession, folder: str, pattern: str, schema: T.StructType | None = None, counts: bool = False,
+) -> DataFrame | tuple[DataFrame, DataFrame]:
     """All CSV files below ``folder`` whose name matches a glob such as ``*employees*{csv,csv.gz}``.
 
     A header with other names than the schema's, or in another order, is an error.  ``#`` lines before a file's header are
@@ -82,7 +85,8 @@ def read_csv_matching(
     some = delimited.Files(spark, folder, pattern)
     if schema:
         _expect(some, schema.fieldNames())
-    return delimited.read(some, {f.name: f.dataType for f in schema} if schema else None, seen=seen)
+    read = delimited.read(some, {f.name: f.dataType for f in schema} if schema else None)
+    return read if counts else read[0]
 
 
 def read_parquet(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crewmetrics import reference as ref
@@ -39,17 +39,14 @@ def ingest(
             schema = schemas.TABLES.get(table)
             # the order of catalog, skill and employee rows decides between equal candidates
             ordered = table in ("ld_catalog", "skills", "employees")
-            seen = Observation()
             if schema is None:
-                df = read_csv(spark, path, ordinal=ordered, seen=seen)
+                df, counts = read_csv(spark, path, ordinal=ordered, counts=True)
             else:
-                df = read_declared_csv(spark, path, schema, schemas.OPTIONAL.get(table, set()), ordered, seen)
-            names = [c for c in df.columns if not (ordered and c == "ordinal")]
+                df, counts = read_declared_csv(spark, path, schema, schemas.OPTIONAL.get(table, set()), ordered, counts=True)
             if mask:
                 df = mask_columns(df, pii_columns(df, compat), salt)
             write_parquet(df, f"{target.rstrip('/')}/{table}")
-            # counted while the table was written
-            status.append((name, table, "created", unread(seen, names)))
+            status.append((name, table, "created", unread(counts)))
         except Exception as error:  # noqa: BLE001 - reported in the status row
             status.append((name, table, "failed", str(error).splitlines()[0][:500]))
     return spark.createDataFrame(status, STATUS)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crewmetrics.operators import batch_risk, features, risk
+from crewmetrics.plans import prefix
 
 GAPS = {
     "E_1001": (0.666667, 1.275, 0, 0.0, 0, 0.488333),
@@ -133,14 +134,30 @@ def test_row_features_edges(spark):
     assert monthly[None][1] == pytest.approx((-0.5 + (0.25 + 1) / 2) / 2)
 
 
-def test_internal_moves_cross_span_boundaries(spark):
+@pytest.mark.parametrize("rows_each", [500_000, 2, 1])
+def test_internal_moves_cross_ranges(spark, rows_each, monkeypatch):
+    monkeypatch.setattr(prefix, "RANGE_ROWS", rows_each)
     rows = [("a", "2024-01-01", "x"), ("a", "2024-01-09", "y"), ("a", "2024-02-01", "y"), ("a", "2024-04-01", "x"),
-            ("b", "2024-01-01", "x"), ("c", "2024-01-01", "x"), ("c", "2024-02-01", "z")]
+            ("b", "2024-01-01", "x"), ("c", "2024-01-01", "x"), ("c", "2024-02-01", "z"),
+            ("d", None, "x"), ("d", "2024-01-01", "y"), ("e", "2024-01-01", None), ("e", "2024-01-02", "x"), ("e", "2024-01-03", None), (None, "2024-01-01", "x")]
     df = spark.createDataFrame(rows, "employee_id string, changed_at string, role string")
-    df = df.withColumn("changed_at", F.col("changed_at").cast("timestamp"))
-    for span in ("month", "year", "day"):
-        got = {r.employee_id: r.internal_moves for r in features.internal_moves(df, span=span).collect()}
-        assert got == {"a": 2, "b": 0, "c": 1}
+    for kind in ("timestamp", "string"):
+        got = {r.employee_id: r.internal_moves for r in features.internal_moves(df.withColumn("changed_at", F.col("changed_at").cast(kind))).collect()}
+        assert got == {"a": 2, "b": 0, "c": 1, "d": 1, "e": 0}
+
+
+def test_one_day_of_one_employee_is_split(spark, monkeypatch):
+    """An employee-day with a third of all rows lies in about a third of the ranges, and gives the moves of a single pass."""
+    monkeypatch.setattr(prefix, "RANGE_ROWS", 200)
+    hot = spark.range(2000).select(F.lit("hot").alias("employee_id"), F.expr("timestamp'2024-05-01' + make_dt_interval(0, 0, 0, id)").alias("changed_at"), (F.col("id") * 7 % 3).cast("string").alias("role"))
+    rest = spark.range(4000).select((F.col("id") % 50).cast("string").alias("employee_id"), F.expr("timestamp'2024-01-01' + make_dt_interval(cast(id % 300 as int), 0, 0, id)").alias("changed_at"), (F.col("id") % 4).cast("string").alias("role"))
+    both = hot.unionByName(rest)
+    ranged = prefix.by_value(both.withColumn("_t", F.col("changed_at").cast("double")), "_t")
+    groups = ranged.groupBy("employee_id", "_range").count()
+    assert groups.where("employee_id = 'hot'").count() >= 8 and groups.agg(F.max("count")).first()[0] < 500
+    got = {r.employee_id: r.internal_moves for r in features.internal_moves(both).collect()}
+    roles = [r.role for r in hot.orderBy("changed_at").collect()]
+    assert got["hot"] == sum(x != y for x, y in zip(roles, roles[1:])) and len(got) == 51
 
 
 def test_skill_levels_both_paths_agree(spark, monkeypatch):

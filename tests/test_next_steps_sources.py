@@ -90,6 +90,50 @@ def test_snapshots(spark, tmp_path):
     assert (tmp_path / "steps" / "snapshot-00000008").exists() and snapshots.read_snapshot(spark, path).count() == 4
 
 
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    ddl, path = "employee_id string, v int", str(tmp_path / "steps")
+    assert snapshots.read_buckets(spark, path) is None
+    snapshots.upsert_buckets(spark.createDataFrame([(f"e{i}", i) for i in range(40)], ddl), path, buckets=16)
+    names = lambda: {f.parent.name: f.name for f in (tmp_path / "steps" / "rows").glob("_bucket=*/*.parquet")}
+    before = names()
+    source = spark.createDataFrame([("e3", 300), ("new", 1), (None, 7)], ddl)
+    got = {(r.employee_id, r.v) for r in snapshots.upsert_buckets(source, path, buckets=99).collect()}
+    assert got == {(f"e{i}", 300 if i == 3 else i) for i in range(40)} | {("new", 1), (None, 7)}
+    after = names()
+    changed = {b for b in after if before.get(b) != after[b]}
+    touched = {f"_bucket={r[0]}" for r in source.select(F.pmod(F.xxhash64("employee_id"), F.lit(16))).collect()}
+    assert changed == touched and set(before) - touched
+    with pytest.raises(Exception, match="more than once"):
+        snapshots.upsert_buckets(spark.createDataFrame([("e4", 1), ("e4", 2)], ddl), path)
+    assert names() == after and snapshots.read_buckets(spark, path).count() == 42
+    newest = snapshots.upsert_buckets(spark.createDataFrame([("e4", 1), ("e4", 2)], ddl), path, newest_first=[F.col("v").desc()])
+    assert newest.where("employee_id = 'e4'").first().v == 2 and newest.count() == 42
+    assert snapshots.upsert_buckets(source.limit(0), path).count() == 42
+
+
+def test_a_repeated_source_key_fails(spark):
+    ddl = "employee_id string, v int"
+    old = spark.createDataFrame([("a", 0)], ddl)
+    with pytest.raises(Exception, match="employee_id occurs more than once"):
+        next_steps.upsert(old, spark.createDataFrame([("b", 1), ("b", 2)], ddl), "employee_id").collect()
+    assert next_steps.upsert(old, spark.createDataFrame([(None, 1), (None, 2)], ddl), "employee_id").count() == 3
+
+
+def test_one_bad_field_spoils_no_other(spark):
+    said = [
+        '{"owner": "hr", "suggested_check_in_weeks": "soon", "recommendations": [1, "b"], "mood": {"x": [1, null]}, "attrition_risk": "0.25"}',
+        '{"owner": null, "recommendations": "rest", "employee_id": 7}', "{}", "[1]", "5", "null", "{bad", "", None, '{"owner": 1, "owner": 2}',
+    ]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string").withColumn("r", next_steps.parse_reply(F.col("t")))
+    got = {r.i: r.j and json.loads(r.j) for r in rows.select("i", F.to_json("r").alias("j")).collect()}
+    assert got[0] == {
+        "owner": "hr", "recommendations": ["1", "b"], "attrition_risk": 0.25,
+        "other_fields": {"mood": {"x": [1, None]}, "suggested_check_in_weeks": "soon"},
+    }
+    assert got[1] == {"employee_id": "7", "other_fields": {"recommendations": "rest"}}
+    assert got[2] == {"other_fields": {}} and all(got[i] is None for i in range(3, 10))
+
+
 def test_selection(spark, sample):
     people = sample["employees"]
     assert selection.lookup(people, "employee_id", "E_1042").first().role == "Data Engineer"

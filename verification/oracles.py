@@ -7,7 +7,7 @@ have no entry here; tests check their properties.
 
 from __future__ import annotations
 
-from crewmetrics.reference import QUESTION_PROMPT
+from crewmetrics.reference import NEXT_STEP_RECOMMENDATIONS, QUESTION_PROMPT
 from verification.adapters import CTE, SALT, STOP_WORDS, clean_words, lexicon_score, with_
 from verification.adapters import KEYWORDS
 
@@ -41,6 +41,12 @@ def _prompt() -> str:
     return " || ".join([parts[0], company, parts[1], context, parts[2], question, parts[3]])
 
 
+def _steps() -> str:
+    """The five recommendations as a concatenation."""
+    text = "|".join(NEXT_STEP_RECOMMENDATIONS).replace("'", "''")
+    return "'" + text.replace("{weak_skills}", "' || coalesce(weak, '') || '") + "'"
+
+
 def _chunks(size: int, overlap: int) -> str:
     step = size - overlap
     return rf"""SELECT doc_id, CAST(i // {step} AS INTEGER) AS chunk_index, md5(array_to_string(ws[i + 1 : i + {size}], ' ')) AS text_md5
@@ -107,14 +113,18 @@ FROM lineitem WHERE l_quantity >= 10.0 GROUP BY l_returnflag, l_linestatus""",
 """ + "\n".join(f"""JOIN (SELECT practice, n FROM (SELECT practice, top[{i}].n AS n, row_number() OVER (PARTITION BY practice ORDER BY count(*) DESC, top[{i}].n) AS r
   FROM people GROUP BY practice, top[{i}].n) WHERE r = 1) m{i} ON m{i}.practice = team""" for i in (1, 2, 3))),
     "next_steps": with_(_PEOPLE + " skills weak", f"""SELECT employee_id, round_even(risk, 3) + 0.0 AS attrition_risk,
-  'Enroll in focused upskilling: ' || coalesce(weak, '') || ' (4 weeks).' AS upskilling, 5 AS steps, 'manager' AS owner, 6 AS suggested_check_in_weeks,
+  {_steps()} AS steps, 'manager' AS owner, 6 AS suggested_check_in_weeks,
   {_r6('workload_ratio')}, top[1].n || ',' || top[2].n || ',' || top[3].n AS top_drivers FROM people LEFT JOIN weak USING (employee_id)"""),
     "person_prompts": with_(_PEOPLE + " skills", """SELECT employee_id, '[' || coalesce(s, '') || ']' AS skills_line,
   '[' || top[1].n || ', ' || top[2].n || ', ' || top[3].n || ']' AS drivers_line
 FROM people LEFT JOIN (SELECT employee_id, string_agg('{''skill'': ''' || skill || ''', ''level'': ' || CAST(level AS INTEGER) || '}', ', ' ORDER BY level DESC, skill) AS s
   FROM skills GROUP BY employee_id) USING (employee_id)"""),
-    "parsed_replies": """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END AS owner, CASE WHEN event_id % 3 = 0 THEN -1.0::DOUBLE ELSE 0.5::DOUBLE END AS attrition_risk,
-  CASE WHEN event_id % 3 = 0 THEN 'note ' || props ELSE '' END AS model_response FROM events""",
+    "parsed_replies": """SELECT event_id, CASE WHEN t THEN '' ELSE event_type END AS owner, CASE WHEN t THEN -1.0::DOUBLE ELSE 0.5::DOUBLE END AS attrition_risk,
+  CAST(CASE WHEN t OR event_id % 4 = 0 THEN -1 ELSE event_id % 9 END AS INTEGER) AS weeks,
+  CASE WHEN t OR event_id % 5 = 0 THEN '' ELSE 'a|' || event_type END AS recommendations,
+  CASE WHEN t THEN '' ELSE 'mood={"score":' || (event_id % 7) || '}' || CASE WHEN event_id % 5 = 0 THEN '|recommendations="rest"' ELSE '' END
+    || CASE WHEN event_id % 4 = 0 THEN '|suggested_check_in_weeks="soon"' ELSE '' END END AS others,
+  CASE WHEN t THEN 'note ' || props ELSE '' END AS model_response FROM (SELECT *, event_id % 3 = 0 AS t FROM events)""",
     "latest_per_key": f"SELECT {_SHOWN} FROM ({_ORDERS}) WHERE r = 1",
     "upsert_next_steps": f"""WITH old AS (SELECT * FROM ({_ORDERS} WHERE o_orderstatus = 'F') WHERE r = 1),
   new AS (SELECT * FROM ({_ORDERS} WHERE o_orderstatus <> 'F') WHERE r = 1)
@@ -163,6 +173,13 @@ SELECT quality, 'test' AS part, t AS n FROM c UNION ALL SELECT quality, 'train',
     "knn_l2": f"SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, {_r6('score')} FROM ({_L2})",
     "knn_l2_similarity": f"SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, {_r('1.0 / (1.0 + score)', 'score')} FROM ({_L2})",
     "knn_cosine": f"SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, {_r6('score')} FROM ({_COS})",
+    "importance_order": """SELECT feature, CAST(feature = 'balance' AS INTEGER) AS first, CAST(feature = 'balance' AS INTEGER) AS matters,
+  CAST(feature <> 'balance' AS INTEGER) AS idle FROM (SELECT unnest(['balance', 'week', 'nation']) AS feature)""",
+    "explained_people": f"""SELECT c_custkey, 'balance' AS feature, {_r('c_acctbal::DOUBLE', 'value')},
+  CASE WHEN c_acctbal::DOUBLE > (SELECT median(c_acctbal::DOUBLE) FROM customer) THEN 'high' ELSE 'low' END || ' balance' AS description FROM customer""",
+    "person_lookup": with_("employees", "SELECT employee_id, role, practice FROM employees WHERE employee_id = '42'"),
+    "csv_round_trip": "SELECT c_custkey, c_name, c_mktsegment, c_acctbal FROM customer",
+    "catalog_table": "SELECT l_returnflag, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS lines FROM lineitem GROUP BY l_returnflag",
     "knn_approximate": "SELECT vec_id AS query_id, least(4, (SELECT count(*) FROM embeddings)) AS found, vec_id AS first, CAST(0 AS DOUBLE) AS least FROM embeddings",
     "knn_approximate_recall": "SELECT CAST(sum(least(4, n)) AS BIGINT) AS neighbours, 1 AS recall_reached, 1 AS pruned FROM (SELECT count(*) OVER () AS n FROM embeddings)",
     "sparse_retrieval": with_("chunked passages hits", f"SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, chunk_index, {_r6('score')} FROM hits"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,7 +14,8 @@ from crewmetrics.operators import (
     batch_risk, buckets, career, evaluate, explain, features, knn as nn, model, next_steps, retrieval, risk, selection, sentiment,
     tfidf, themes,
 )
-from crewmetrics.sources import tables
+from crewmetrics.plans.scratch import scratch_folder
+from crewmetrics.sources import files, tables
 from verification import adapters as a
 
 LEXICON = {"positive": a.POSITIVE, "negative": a.NEGATIVE}
@@ -193,7 +194,7 @@ def next_steps_records(s, d):
     made = next_steps.next_steps(_people(s, d), a.skills(s, d))
     return r6(
         made.select(
-            "employee_id", "attrition_risk", F.get("recommendations", F.lit(2)).alias("upskilling"), F.size("recommendations").alias("steps"),
+            "employee_id", "attrition_risk", F.array_join("recommendations", "|").alias("steps"),
             "owner", "suggested_check_in_weeks", "workload_ratio", F.array_join("top_drivers", ",").alias("top_drivers"),
         )
     )
@@ -207,16 +208,22 @@ def person_prompts(s, d):
 
 
 def parsed_replies(s, d):
-    # props is a JSON object {"k": n}; every third event gets text that is not JSON
-    e = a.table(s, d, "events").select(
-        "event_id", F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("note "), "props"))
-        .otherwise(F.concat(F.lit('{"owner": "'), "event_type", F.lit('", "attrition_risk": 0.5}'))).alias("response")
+    # every third event gets text that is not JSON; of the others some lack a type, and some say more than is asked for
+    n = F.col("event_id")
+    weeks = F.when(n % 4 == 0, '"soon"').otherwise((n % 9).cast("string"))
+    advice = F.when(n % 5 == 0, '"rest"').otherwise(F.concat(F.lit('["a", "'), "event_type", F.lit('"]')))
+    said = F.concat(
+        F.lit('{"owner": "'), "event_type", F.lit('", "attrition_risk": 0.5, "suggested_check_in_weeks": '), weeks,
+        F.lit(', "recommendations": '), advice, F.lit(', "mood": {"score": '), (n % 7).cast("string"), F.lit("}}"),
     )
+    e = a.table(s, d, "events").select("event_id", F.when(n % 3 == 0, F.concat(F.lit("note "), "props")).otherwise(said).alias("response"))
     parsed = e.withColumn("reply", next_steps.parse_reply(F.col("response")))
+    others = F.array_sort(F.transform(F.map_entries("reply.other_fields"), lambda x: F.concat(x["key"], F.lit("="), F.to_json(x["value"]))))
     return parsed.select(
         "event_id", F.col("reply.owner").alias("owner"), F.col("reply.attrition_risk").alias("attrition_risk"),
-        F.when(F.col("reply").isNull(), F.col("response")).alias("model_response"),
-    ).fillna("", subset=["owner", "model_response"]).fillna(-1.0, subset=["attrition_risk"])
+        F.col("reply.suggested_check_in_weeks").alias("weeks"), F.array_join("reply.recommendations", "|").alias("recommendations"),
+        F.array_join(others, "|").alias("others"), F.when(F.col("reply").isNull(), F.col("response")).alias("model_response"),
+    ).fillna("", subset=["owner", "model_response", "recommendations", "others"]).fillna(-1.0, subset=["attrition_risk"]).fillna(-1, subset=["weeks"])
 
 
 def _order_rows(s, d):
@@ -336,6 +343,55 @@ def permutation_importance(s, d):
     return explain.permutation_importance(*_trained(s, d, model.LINEAR))
 
 
+def _balances(s, d):
+    """Customers that "leave" where they have money: one feature decides, two say nothing."""
+    c = a.table(s, d, "customer")
+    return c.select(
+        "c_custkey", F.col("c_acctbal").cast("double").alias("balance"), (F.col("c_custkey") % 7).cast("double").alias("week"),
+        F.col("c_nationkey").cast("double").alias("nation"), (F.col("c_acctbal") > 0).cast("int").alias("left_company"),
+    )
+
+
+def _balance_model(s, d):
+    rows = _balances(s, d)
+    return model.train(rows, key="c_custkey", numeric=["balance", "week", "nation"], evaluate=False), rows
+
+
+def importance_order(s, d):
+    """Which features matter when they are shuffled: the first one, and those that do not."""
+    found = explain.permutation_importance(*_balance_model(s, d))
+    rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.col("importance").desc()))  # one row for each feature
+    return found.select(
+        "feature", (rank == 1).cast("int").alias("first"), (F.col("importance") > 0.1).cast("int").alias("matters"),
+        (F.abs("importance") < 0.03).cast("int").alias("idle"),
+    )
+
+
+def explained_people(s, d):
+    """The first driver of every customer from a trained model, by shuffled importance and by median."""
+    trained, rows = _balance_model(s, d)
+    told = explain.explain_model(trained, rows, method="permutation")
+    first = F.get("top_drivers", F.lit(0))
+    return r6(told.select("c_custkey", first["feature"].alias("feature"), first["value"].alias("value"), first["description"].alias("description")))
+
+
+def person_lookup(s, d):
+    return selection.lookup(a.employees(s, d), "employee_id", "42").select("employee_id", "role", "practice")
+
+
+def csv_round_trip(s, d):
+    """Customers as CSV files and back, by declared types."""
+    rows = a.table(s, d, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
+    path = scratch_folder(s)
+    files.write_csv(rows, path, single_file_rows=0)
+    return files.read_csv(s, path, rows.schema, multiline=False)
+
+
+def catalog_table(s, d):
+    a.table(s, d, "lineitem").createOrReplaceTempView("shipped")
+    return tables.read_table(s, "shipped").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("lines"))
+
+
 def stratified_split(s, d):
     labels = a.table(s, d, "labels")
     train, test = model.stratified_split(labels, "quality", "doc_id")
@@ -523,7 +579,7 @@ QUERIES = [
     batch_person_risk, batch_team_risk, next_steps_records, person_prompts, parsed_replies, latest_per_key, upsert_next_steps,
     lexicon_sentiment, weighted_sentiment, team_sentiment, keyword_mentions, tfidf_terms, theme_summary, themes_nmf, theme_terms,
     auc_exact, classification_report, attrition_scores, boosted_scores, linear_importance, permutation_importance,
-    stratified_split, explain_levels, chunks, small_chunks, chunk_ids, knn_l2, knn_l2_similarity, knn_cosine, knn_approximate, knn_approximate_recall,
+    stratified_split, importance_order, explained_people, person_lookup, csv_round_trip, catalog_table, explain_levels, chunks, small_chunks, chunk_ids, knn_l2, knn_l2_similarity, knn_cosine, knn_approximate, knn_approximate_recall,
     sparse_retrieval, context_prompt, citations, ask, hit_at_k, employee_skills, career_target, target_gaps, career_courses, fallback_courses,
     career_mentor, career_project, career_plan, skill_demand,
 ]
