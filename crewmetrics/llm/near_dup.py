@@ -24,6 +24,8 @@ SYMBOLS = CHUNKS * CHUNK
 DISTANCE = 2 * CHUNKS - 1
 #: shingles in one verifying task's group or cell, and members in one block of a shared key
 GROUP_SHINGLES, BLOCK = 64_000, 1024
+#: how often keys with several components get another pivot before their members are compared in pairs
+STARS = 2
 
 _ORDERS = np.random.default_rng(20).integers(0, 2**63, SYMBOLS, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -211,7 +213,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
     Texts are linked if their sets of distinct ``shingle``-word shingles (whole texts, A-Z lower-cased) have
     ``100 * common >= percent * all``.  Equal sets are one class.  Classes whose signatures differ in at most
     ``DISTANCE`` symbols share a key (two that are 80 % alike differ in more with a chance under 1 in 100,000);
-    links are confirmed on full sets.  First every class is held against the smallest class of its keys, the pivot.
+    links are confirmed on full sets.  First every class is held against the smallest class of its keys, the pivot, then
+    ``STARS`` times those outside a pivot's component against another one.
     Then, in keys that still hold several components, all members of different components within the distance
     are compared, in blocks: no cap, and pairs are not formed where stars have joined a group already.  These pairs
     stay packed: a class belongs to a cell of those with its pivot, and each pair of cells is confirmed by one task
@@ -243,6 +246,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
 
     parted = sets.select("node", "shingles", F.explode("places").alias("place")).select("node", "shingles", "place.*")
     links = written(parted.groupBy("pivot", "part").applyInArrow(_stars(percent), "a long, b long"))
+    for turn in range(STARS):
+        links = links.unionByName(_more_stars(shared, classes, links, sets, percent, turn))
     sizes = nearest.groupBy("pivot").agg(F.ceil(F.sum("n_shingles") / GROUP_SHINGLES).cast("int").alias("parts"))
     cell = F.xxhash64("pivot", F.pmod(F.xxhash64("node"), F.col("parts")))
     cells = nearest.join(sizes, "pivot").select("node", cell.alias("cell")).join(classes.select("node", "n_shingles", "signature"), "node")
@@ -274,6 +279,23 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, size: int, key: str, text: str)
     return joined.mapInArrow(shingle, schema)
 
 
+def _more_stars(shared: DataFrame, classes: DataFrame, links: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Links found by another pivot in each key that still holds several components: a row for each member outside the pivot's."""
+    roots = components(links)
+    rooted = shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    order = lambda c: F.xxhash64(c, F.lit(turn))
+    open_keys = rooted.groupBy("key").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("node", "root"), order("node")).alias("pivot")
+    ).where("low < high").select("key", F.col("pivot.node").alias("pivot"), F.col("pivot.root").alias("its_root"))
+    asked = rooted.join(open_keys, "key").where("root <> its_root").groupBy("node").agg(F.min_by("pivot", order("pivot")).alias("pivot"))
+    sized = written(asked.join(classes.select("node", "n_shingles"), "node"))
+    spread = sized.groupBy("pivot").agg(F.ceil(F.sum("n_shingles") / GROUP_SHINGLES).cast("int").alias("parts"))
+    member = sized.join(spread, "pivot").select("node", "pivot", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("role"))
+    centre = spread.select(F.col("pivot").alias("node"), "pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("role"))
+    met = member.unionByName(centre).join(sets.select("node", "shingles"), "node")
+    return written(met.groupBy("pivot", "part").applyInArrow(_stars(percent), "a long, b long"))
+
+
 def _rest(shared: DataFrame, cells: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between the components that the stars have left."""
     roots = components(links)
@@ -299,4 +321,5 @@ def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80, key: str
     named = docs.select(F.struct(F.col(key).alias("id"), F.xxhash64(text).alias("print")).alias("_row"), F.col(text).alias("_text"))
     found = near_duplicates(named, shingle, percent, "_row", "_text")
     lost = found.where(~F.col("kept")).select("_row").distinct()
-    return docs.join(lost, F.col(key).eqNullSafe(F.col("_row.id")) & (F.xxhash64(text) == F.col("_row.print")), "left_anti")
+    row = lost["_row"]
+    return docs.join(lost, docs[key].eqNullSafe(row["id"]) & (F.xxhash64(docs[text]) == row["print"]), "left_anti")

@@ -160,3 +160,10 @@ def test_cells_of_a_loose_crowd(shared, monkeypatch):
     monkeypatch.setattr(near_dup, "GROUP_SHINGLES", 700)
     found = check_near(shared.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3), 4)
     assert 1 < len({c for _, c in found.values()}) < len(rows)
+
+
+def test_a_column_of_any_name_stays(shared):
+    """Columns may have the names that the operator uses inside."""
+    docs = shared.createDataFrame([(1, "a b c d e f", "x", 1), (2, "a b c d e f", "y", 2), (3, None, "z", 3)], "doc_id long, text string, _row string, node int")
+    kept = near_dup.deduplicated(docs)
+    assert sorted(tuple(r) for r in kept.collect()) == [(1, "a b c d e f", "x", 1), (3, None, "z", 3)] and kept.columns == docs.columns
