@@ -247,7 +247,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
     parted = sets.select("node", "shingles", F.explode("places").alias("place")).select("node", "shingles", "place.*")
     links = written(parted.groupBy("pivot", "part").applyInArrow(_stars(percent), "a long, b long"))
     for turn in range(STARS):
-        links = links.unionByName(_more_stars(shared, classes, links, sets, percent, turn))
+        more = _more_stars(shared, classes, links, sets, percent, turn)
+        if more is None:
+            break
+        links = links.unionByName(more)
     sizes = nearest.groupBy("pivot").agg(F.ceil(F.sum("n_shingles") / GROUP_SHINGLES).cast("int").alias("parts"))
     cell = F.xxhash64("pivot", F.pmod(F.xxhash64("node"), F.col("parts")))
     cells = nearest.join(sizes, "pivot").select("node", cell.alias("cell")).join(classes.select("node", "n_shingles", "signature"), "node")
@@ -279,14 +282,19 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, size: int, key: str, text: str)
     return joined.mapInArrow(shingle, schema)
 
 
-def _more_stars(shared: DataFrame, classes: DataFrame, links: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Links found by another pivot in each key that still holds several components: a row for each member outside the pivot's."""
+def _more_stars(shared: DataFrame, classes: DataFrame, links: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFrame | None:
+    """Links found by another pivot in each key that still holds several components: a row for each member outside the pivot's.
+
+    None if there is no such key.
+    """
     roots = components(links)
     rooted = shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     order = lambda c: F.xxhash64(c, F.lit(turn))
-    open_keys = rooted.groupBy("key").agg(
+    open_keys = written(rooted.groupBy("key").agg(
         F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("node", "root"), order("node")).alias("pivot")
-    ).where("low < high").select("key", F.col("pivot.node").alias("pivot"), F.col("pivot.root").alias("its_root"))
+    ).where("low < high").select("key", F.col("pivot.node").alias("pivot"), F.col("pivot.root").alias("its_root")))
+    if open_keys.isEmpty():
+        return None
     asked = rooted.join(open_keys, "key").where("root <> its_root").groupBy("node").agg(F.min_by("pivot", order("pivot")).alias("pivot"))
     sized = written(asked.join(classes.select("node", "n_shingles"), "node"))
     spread = sized.groupBy("pivot").agg(F.ceil(F.sum("n_shingles") / GROUP_SHINGLES).cast("int").alias("parts"))
