@@ -28,7 +28,7 @@ HEADLINE = [
     "employee_features", "team_risk", "risk_rollup", "batch_team_risk", "next_steps", "upsert_next_steps", "internal_moves",
     "lexicon_sentiment", "weighted_sentiment", "team_sentiment", "tfidf_terms", "theme_summary", "themes_nmf", "auc_exact",
     "classification_report", "attrition_scores", "permutation_importance", "explain_levels", "chunks", "knn_l2", "knn_cosine",
-    "sparse_retrieval", "ask", "career_plan", "skill_demand",
+    "sparse_retrieval", "ask", "career_plan", "skill_demand", "knn_approximate", "explained_people", "parsed_replies", "pto_spike", "monthly_sentiment",
 ]
 
 

@@ -12,34 +12,52 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from crewmetrics.operators import tfidf
+from crewmetrics.plans.scratch import written
 from crewmetrics.schemas import has
 
 MAX_THEMES = 100
 _SWEEPS = 40
 
 
-def _block_solver(components: np.ndarray, sweeps: int):
-    """A function from an Arrow batch of sparse rows to (X dense, W).
+def _products():
+    """Products of a batch of sparse rows with dense matrices; no row is ever dense.
 
-    Everything it needs travels inside the closure, so workers need no installed package.
+    The functions travel inside the closures that use them, so workers need no installed package.
     """
 
-    def solve(batch):
-        import numpy as np
-
+    def parts(batch):
         lists = batch.column("indices")
-        ends = np.asarray(lists.offsets)
-        cols = np.asarray(lists.flatten(), dtype=np.int64)
-        vals = np.asarray(batch.column("weights").flatten(), dtype=np.float64)
-        n = batch.num_rows
-        x = np.zeros((n, components.shape[1]))
-        x[np.repeat(np.arange(n), np.diff(ends)), cols] = vals
-        a, g = x @ components.T, components @ components.T
+        row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
+        return row, np.asarray(lists.flatten(), dtype=np.int64), np.asarray(batch.column("weights").flatten(), dtype=np.float64)
+
+    def times(batch, matrix):
+        """X M for M (terms x columns)."""
+        row, term, weight = parts(batch)
+        return np.stack([np.bincount(row, weight * matrix[term, j], batch.num_rows) for j in range(matrix.shape[1])], axis=1)
+
+    def transposed_times(batch, matrix, width):
+        """M' X for M (rows x columns)."""
+        row, term, weight = parts(batch)
+        return np.stack([np.bincount(term, weight * matrix[row, j], width) for j in range(matrix.shape[1])])
+
+    def squares(batch):
+        return float((parts(batch)[2] ** 2).sum())
+
+    return times, transposed_times, squares
+
+
+def _block_solver(components: np.ndarray, sweeps: int):
+    """A function from an Arrow batch of sparse rows to (X H', W)."""
+    times = _products()[0]
+    turned, g = np.ascontiguousarray(components.T), components @ components.T
+
+    def solve(batch):
+        a = times(batch, turned)
         w = np.zeros_like(a)
         for _ in range(sweeps):
             before = w.copy()
@@ -48,43 +66,72 @@ def _block_solver(components: np.ndarray, sweeps: int):
                     w[:, j] = np.maximum(0.0, w[:, j] + (a[:, j] - w @ g[:, j]) / g[j, j])
             if np.abs(w - before).max(initial=0.0) < 1e-9:
                 break
-        return x, w
+        return a, w
 
     return solve
 
 
-def _pass(x: DataFrame, components: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """W'X, W'W and the squared error of one round."""
-    solve = _block_solver(components, _SWEEPS)
-    k, width = components.shape
+def _summed(x: DataFrame, shape: tuple[int, int], work) -> np.ndarray:
+    """The sum of ``work`` over all blocks of rows: one matrix of the given shape, added up by tasks, then by cell."""
 
     def partial(batches):
-        import numpy as np
         import pyarrow as pa
 
-        sums = np.zeros((k, width + k + 1))
+        sums = np.zeros(shape)
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
-                rows, w = solve(batch.slice(at, 2000))
-                sums[:, :width] += w.T @ rows
-                sums[:, width : width + k] += w.T @ w
-                sums[0, -1] += ((rows - w @ components) ** 2).sum()
+                sums += work(batch.slice(at, 2000))
         r, c = np.nonzero(sums)
-        yield pa.RecordBatch.from_pydict(
-            {"r": pa.array(r, pa.int32()), "c": pa.array(c, pa.int32()), "v": pa.array(sums[r, c])}
-        )
-
-    cells = (
-        x.select("indices", "weights")
-        .mapInArrow(partial, "r int, c int, v double")
-        .groupBy("r", "c")
-        .agg(F.sum("v").alias("v"))
-        .collect()  # at most themes x (terms + themes) cells
-    )
-    total = np.zeros((k, width + k + 1))
+        yield pa.RecordBatch.from_pydict({"r": pa.array(r, pa.int32()), "c": pa.array(c, pa.int32()), "v": pa.array(sums[r, c])})
+
+    cells = x.select("indices", "weights").mapInArrow(partial, "r int, c int, v double").groupBy("r", "c").agg(F.sum("v").alias("v")).collect()
+    total = np.zeros(shape)
     for cell in cells:
         total[cell.r, cell.c] = cell.v
-    return total[:, :width], total[:, width : width + k], float(total[0, -1])
+    return total
+
+
+def _pass(x: DataFrame, components: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """W'X, W'W and the squared error of one round."""
+    solve = _block_solver(components, _SWEEPS)
+    _, transposed_times, squares = _products()
+    k, width = components.shape
+    g = components @ components.T
+
+    def work(batch):
+        a, w = solve(batch)
+        own = w.T @ w
+        error = squares(batch) - 2.0 * (w * a).sum() + (own * g).sum()
+        return np.hstack([transposed_times(batch, w, width), own, np.full((k, 1), error)])
+
+    total = _summed(x, (k, width + k + 1), work)
+    return total[:, :width], total[:, width : width + k], max(0.0, float(total[0, -1]))
+
+
+def _start(x: DataFrame, k: int, width: int, seed: int, more: int = 8) -> np.ndarray:
+    """Themes to begin with: the non-negative sides of the leading directions of X, from a randomised range finder.
+
+    Two passes: X'(X R) for a few random columns R spans the directions, and X'X within them orders them.  Both sums have at
+    most terms x (themes + ``more``) numbers.  Each direction is turned so that its larger side is the positive one.
+    """
+    times, transposed_times, _ = _products()
+    columns = min(width, k + more)
+    random = np.random.default_rng(seed).normal(size=(width, columns))
+    basis = np.linalg.qr(_summed(x, (columns, width), lambda batch: transposed_times(batch, times(batch, random), width)).T)[0]
+
+    def inside(batch):
+        own = times(batch, basis)
+        return own.T @ own
+
+    values, vectors = np.linalg.eigh(_summed(x, (basis.shape[1],) * 2, inside))
+    order = np.argsort(-values, kind="stable")[:k]
+    directions = (basis @ vectors[:, order]).T
+    up, down = np.maximum(directions, 0.0), np.maximum(-directions, 0.0)
+    larger = (up**2).sum(axis=1) >= (down**2).sum(axis=1)
+    h = np.where(larger[:, None], up, down) + 1e-3 / np.sqrt(width)
+    if len(h) < k:  # fewer directions than themes
+        h = np.vstack([h, np.abs(np.random.default_rng(seed + 1).normal(size=(k - len(h), width))) / np.sqrt(width)])
+    return h
 
 
 def _improve(h: np.ndarray, wx: np.ndarray, ww: np.ndarray, sweeps: int = _SWEEPS) -> np.ndarray:
@@ -118,11 +165,11 @@ class Themes:
         rows = [(i + 1, terms) for i, terms in enumerate(self.top_terms(n))]
         return spark.createDataFrame(rows, "theme int, terms string")
 
-    def scores(self, vecs: DataFrame, key: str) -> DataFrame:
+    def scores(self, vecs: DataFrame, key: str | list[str]) -> DataFrame:
         """(key, theme_1_score .. theme_k_score) of vectors over this vocabulary."""
         solve, k = _block_solver(self.components, _SWEEPS), self.n_themes
-        kind = vecs.schema[key].dataType.simpleString()
-        ddl = f"`{key}` {kind}, " + ", ".join(f"theme_{i + 1}_score double" for i in range(k))
+        keys = [key] if isinstance(key, str) else key
+        schema = T.StructType([*[vecs.schema[c] for c in keys], *[T.StructField(f"theme_{i + 1}_score", T.DoubleType()) for i in range(k)]])
 
         def score(batches):
             import pyarrow as pa
@@ -131,11 +178,11 @@ class Themes:
                 for at in range(0, batch.num_rows, 2000):
                     part = batch.slice(at, 2000)
                     _, w = solve(part)
-                    columns = {key: part.column(key)}
+                    columns = {c: part.column(c) for c in keys}
                     columns.update({f"theme_{i + 1}_score": pa.array(w[:, i].copy()) for i in range(k)})
                     yield pa.RecordBatch.from_pydict(columns)
 
-        return vecs.select(key, "indices", "weights").mapInArrow(score, ddl)
+        return vecs.select(*keys, "indices", "weights").mapInArrow(score, schema)
 
 
 def fit_themes(
@@ -149,22 +196,16 @@ def fit_themes(
     seed: int = 42,
     stop_words: tuple[str, ...] | None = None,
 ) -> tuple[Themes, DataFrame]:
-    """Fit themes; returns them with the vectors they were fitted on (kept in storage)."""
+    """Fit themes; returns them with the vectors they were fitted on, a written table."""
     if not 1 <= n_themes <= MAX_THEMES:
         raise ValueError(f"n_themes must be between 1 and {MAX_THEMES}")
     corpus = tfidf.survey_terms(docs, [key], text, stop_words, max_features)
     terms = [r.term for r in corpus.vocab.orderBy("idx").collect()]  # at most max_features rows
     if not terms:
-        corpus.release()
         raise ValueError("no term occurs in two texts")
-    vecs = corpus.vectors.persist(StorageLevel.MEMORY_AND_DISK)
-
-    size = vecs.agg(F.count("*").alias("n"), F.sum(F.aggregate("weights", F.lit(0.0), lambda a, w: a + w)).alias("s"))
-    n, total = size.first()
-    corpus.release()
-    k, width = min(n_themes, n), len(terms)
-    rng = np.random.default_rng(seed)
-    h = np.abs(rng.normal(size=(k, width))) * np.sqrt((total or 0.0) / (n * width) / k)
+    vecs = written(corpus.vectors)
+    k, width = min(n_themes, vecs.count()), len(terms)
+    h = _start(vecs, k, width, seed)
     losses: list[float] = []
     for _ in range(max_iter):
         wx, ww, loss = _pass(vecs, h)
@@ -176,10 +217,14 @@ def fit_themes(
 
 
 def survey_themes(surveys: DataFrame, key: str, n_themes: int = 5, text: str = "free_text", **options) -> DataFrame:
-    """Theme scores on every response, matched by response id; a response without text scores 0."""
-    themes, vecs = fit_themes(surveys, key, text, n_themes, **options)
-    names = [f"theme_{i + 1}_score" for i in range(themes.n_themes)]
-    return surveys.join(themes.scores(vecs, key), key, "left").fillna(0.0, subset=names)
+    """Theme scores on every response; a response without text scores 0.
+
+    The responses are weighed and scored where they are: nothing is shuffled beside the fit.
+    """
+    themes, _ = fit_themes(surveys, key, text, n_themes, **options)
+    how = tfidf.survey_setting(options.get("stop_words"))
+    counted = surveys.withColumn("terms", F.coalesce(tfidf.counted_terms(F.col(text), how), F.array().cast("array<struct<term:string,tf:int>>")))
+    return themes.scores(tfidf.vectors(counted, themes.vocab, surveys.columns), surveys.columns)
 
 
 def theme_summary(scored: DataFrame, employees: DataFrame, n_themes: int = 5) -> DataFrame:

