@@ -239,7 +239,7 @@ def career_plans(
         catalog = fallback_catalog(employees.sparkSession)
     planned = career_targets(recommend_mentors(employees, seniority), skills, requirements, paths)
     planned = recommend_projects(recommend_courses(planned, catalog, ref.vocabulary(requirements), limit), projects)
-    gaps = F.map_from_entries(F.transform("gaps", lambda g: F.struct(g["skill"], g["gap"].cast("int"))))
+    gaps = F.map_from_entries(F.transform("gaps", lambda g: F.struct(g["skill"], g["gap"].cast("double"))))
     return planned.select(
         "employee_id",
         F.col("role").alias("current_role"),

@@ -130,11 +130,15 @@ def train(
     share: float = 0.2,
     seed: int = 42,
     evaluate: bool = True,
+    rounds: int = 100,
+    depth: int = 6,
+    step: float = 0.3,
 ) -> AttritionModel:
     """Train on a stratified 80 % and measure AUC and the report on the rest.
 
     The linear model minimises the class-balanced log loss with an L2 term of strength 1 on
-    standardised columns: divided by the weight total n, that is ``regParam = 1/n``.
+    standardised columns: divided by the weight total n, that is ``regParam = 1/n``.  The boosted trees take ``rounds``, ``depth``
+    and ``step`` (the usual defaults of gradient boosting libraries).
     """
     kind = _ALIASES.get(kind, kind)
     if kind not in (LINEAR, BOOSTED):
@@ -146,12 +150,12 @@ def train(
     # split, class counts, scaling, fitting and measuring all read these narrow rows
     data = data.where(F.col(label).isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _train(data, kind, label, key, numeric, categorical, share, seed, evaluate)
+        return _train(data, kind, label, key, numeric, categorical, share, seed, evaluate, {"maxIter": rounds, "maxDepth": depth, "stepSize": step})
     finally:
         data.unpersist()
 
 
-def _train(data, kind, label, key, numeric, categorical, share, seed, evaluate) -> AttritionModel:
+def _train(data, kind, label, key, numeric, categorical, share, seed, evaluate, boosting) -> AttritionModel:
     train_part, test_part = stratified_split(data, label, key, share, seed)
     counts = {int(r[0]): r[1] for r in train_part.groupBy(label).count().collect()}
     if set(counts) != {0, 1}:
@@ -174,7 +178,7 @@ def _train(data, kind, label, key, numeric, categorical, share, seed, evaluate)
             )
         )
     else:
-        stages.append(GBTClassifier(**shared, seed=seed))
+        stages.append(GBTClassifier(**shared, seed=seed, **boosting))
     model = AttritionModel(Pipeline(stages=stages).fit(weighted), kind, numeric, categorical, {}, label, key)
     if evaluate:
         tested = scored(model, test_part).select(label, "prediction", "attrition_risk")

@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crewmetrics.plans.sizes import at_most
 from crewmetrics.sources import delimited
 
-SINGLE_FILE_ROWS = 100_000
+FILE_ROWS = 1_000_000
 SPLIT_BYTES = 128 * 1024 * 1024
 
 
@@ -141,10 +140,9 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def write_csv(df: DataFrame, path: str, single_file_rows: int = SINGLE_FILE_ROWS) -> None:
-    """CSV with header; one file if the result is measured to be small, else one per task."""
-    small = at_most(df, single_file_rows)
-    (df.repartition(1) if small else df).write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, file_rows: int = FILE_ROWS) -> None:
+    """CSV with header, in files of at most ``file_rows`` rows; adaptive execution merges small parts, so a small result is one file."""
+    df.hint("rebalance").write.mode("overwrite").option("header", True).option("maxRecordsPerFile", file_rows).csv(path)
 
 
 def write_json(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:

@@ -90,7 +90,8 @@ def test_predict_some_and_reload(spark, people, linear, tmp_path):
 
 
 def test_boosted_and_categorical(spark, people):
-    boosted = model.train(people, model.BOOSTED, numeric=["up", "down"], categorical=["grp"])
+    boosted = model.train(people, model.BOOSTED, numeric=["up", "down"], categorical=["grp"], rounds=8, depth=3)
+    assert boosted.pipeline.stages[-1].getNumTrees == 8
     assert boosted.metrics["auc"] > 0.8
     assert boosted.vector_names == ["up", "down", "grp=a", "grp=b", "grp=other"]
     assert explain.explain_model(boosted, people, ["e1", "e2"]).count() == 2

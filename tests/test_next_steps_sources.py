@@ -270,7 +270,7 @@ def test_exports(spark, sample, tmp_path):
     files.write_csv(teams, str(tmp_path / "one"))
     assert len(list((tmp_path / "one").glob("part-*"))) == 1
     assert (tmp_path / "one").glob("part-*").__next__().read_text().startswith("practice,count")
-    files.write_csv(sample["employees"].repartition(3), str(tmp_path / "many"), single_file_rows=2)
+    files.write_csv(sample["employees"].repartition(3), str(tmp_path / "many"), file_rows=2)
     assert len(list((tmp_path / "many").glob("part-*"))) > 1
     files.write_json(sample["employees"], str(tmp_path / "json"), ["employee_id"])
     assert (tmp_path / "json" / "employee_id=E_1001").exists()

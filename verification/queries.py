@@ -404,7 +404,7 @@ def csv_round_trip(s, d):
     """Customers as CSV files and back, by declared types."""
     rows = a.table(s, d, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
     path = scratch_folder(s)
-    files.write_csv(rows, path, single_file_rows=0)
+    files.write_csv(rows, path)
     return files.read_csv(s, path, rows.schema, multiline=False)
 
 
