@@ -39,7 +39,7 @@ def test_surrogates(shared):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_beside_their_sql(shared, folder, name):
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
     result = con.execute(queries.ORACLES[name])
     columns = [c[0] for c in result.description]
