@@ -24,9 +24,9 @@ def by_value(df: DataFrame, order: str) -> DataFrame:
         bounds = sorted(set(df.stat.approxQuantile(order, steps, 1.0 / (4 * ranges))))
     splits = [-float("inf"), *bounds, float("inf")]
     if len(splits) < 3:
-        return df.withColumn("_range", F.when(F.col(order).isNull(), -1.0).otherwise(0.0))
+        return df.withColumn("_range", F.when(F.col(order).isNull(), -1).otherwise(0))
     ranged = Bucketizer(splits=splits, inputCol=order, outputCol="_range", handleInvalid="keep").transform(df)
-    return ranged.withColumn("_range", F.when(F.col(order).isNull(), -1.0).otherwise(F.col("_range")))
+    return ranged.withColumn("_range", F.when(F.col(order).isNull(), -1).otherwise(F.col("_range").cast("int")))
 
 
 def by_hash(df: DataFrame, *columns: str, bits: int = 12) -> DataFrame:
