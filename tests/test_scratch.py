@@ -13,28 +13,25 @@ def test_written_tables_are_read_back(spark):
     assert scratch.written(rows.limit(0)).isEmpty() and scratch.scratch_folder(spark) != scratch.scratch_folder(spark)
 
 
-def test_the_set_folder_is_used(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", f"{tmp_path}/shared/")
-    try:
-        assert scratch.scratch_folder(spark).startswith(f"{tmp_path}/shared/crewmetrics-")
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+class Session:
+    """What the function asks of a session that is not local."""
 
+    def __init__(self, folder, context_folder=None):
+        self.conf, self.sparkContext = self, self
+        self.folder, self.context_folder, self.master = folder, context_folder, "yarn"
 
-def test_a_cluster_must_name_a_folder(spark, monkeypatch):
-    class Conf:
-        def get(self, name, default):
-            return default
+    def get(self, name, default):
+        return self.folder if name == "spark.checkpoint.dir" and self.folder else default
 
-    class Cluster:
-        conf = Conf()
+    def getCheckpointDir(self):
+        return self.context_folder
 
-        class sparkContext:  # noqa: N801
-            master = "yarn"
 
-            @staticmethod
-            def getCheckpointDir():
-                return None
+def test_the_set_folder_is_used():
+    assert scratch.scratch_folder(Session("hdfs://x/shared/", "hdfs://x/other")).startswith("hdfs://x/shared/crewmetrics-")
+    assert scratch.scratch_folder(Session(None, "hdfs://x/other")).startswith("hdfs://x/other/crewmetrics-")
 
+
+def test_a_cluster_must_name_a_folder():
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        scratch.scratch_folder(Cluster())
+        scratch.scratch_folder(Session(None))
