@@ -33,10 +33,7 @@ def permutation_importance(model: AttritionModel, features: DataFrame, repeats:
     """
     label, inputs = model.label, model.inputs
     rows = written(features.where(F.col(label).isNotNull()).select(label, *inputs))
-    starts, n = split_starts(rows)
-    keys = [seed * 1_000_003 + repeat for repeat in range(repeats)]
-    sent = numbered(rows.select(*inputs), starts, moved="_rep", n=n, keys=keys)
-    met = numbered(rows, starts).join(sent.select("_number", "_rep", F.struct(*inputs).alias("_other")), "_number")
+    met, n = _meetings(rows, inputs, [seed * 1_000_003 + repeat for repeat in range(repeats)])
     shuffled = met.withColumn("_f", F.explode(F.array(*[F.lit(name) for name in inputs]))).select(
         "_rep", "_f", label, *[F.when(F.col("_f") == c, F.col("_other")[c]).otherwise(F.col(c)).alias(c) for c in inputs],
     )
@@ -53,6 +50,14 @@ def permutation_importance(model: AttritionModel, features: DataFrame, repeats:
     return table.orderBy(F.col("importance").desc(), "feature")
 
 
+def _meetings(rows: DataFrame, inputs: list[str], keys: list[int]) -> tuple[DataFrame, int]:
+    """The rows of a written table, each once for every key beside the inputs sent to it (``_rep``, ``_other``), and their number."""
+    starts, n = split_starts(rows)
+    sent = numbered(rows.select(*inputs), starts, moved="_rep", n=n, keys=keys).select("_number", "_rep", F.struct(*inputs).alias("_other"))
+    # both sides are as long as the data, whose files can be small enough for Spark to send a side through the driver to all tasks
+    return numbered(rows, starts).join(sent.hint("merge"), "_number"), n
+
+
 def top_features(importance: list[dict], n: int = 5) -> list[dict]:
     return sorted(importance, key=lambda row: (-row["importance"], row["feature"]))[:n]
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from crewmetrics.operators import evaluate, explain, model, orders
 from crewmetrics.plans import prefix
 from crewmetrics.sources import artifacts
+from tests.test_plans import plan
 
 
 @pytest.fixture(scope="module")
@@ -191,3 +192,12 @@ def test_report(spark):
 def test_levels(spark):
     df = spark.createDataFrame([(0.71,), (0.70,), (0.30,), (0.31,)], "r double")
     assert [r[0] for r in df.select(explain.risk_level(F.col("r"))).collect()] == ["high", "medium", "low", "medium"]
+
+
+def test_shuffled_columns_are_not_broadcast(spark, people):
+    """A side of the join has every row, so it never goes through the driver, however small its files are."""
+    rows = explain.written(people.select("left_company", "up", "down"))
+    met, n = explain._meetings(rows, ["up", "down"], [1, 2])
+    assert "BroadcastExchange" not in plan(met) and "SortMergeJoin" in plan(met)
+    assert n == 600 and met.count() == 1200
+    assert sorted(r[0] for r in met.where("_rep = 1").select("_other.up").collect()) == sorted(r.up for r in people.collect())
