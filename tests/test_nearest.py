@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crewmetrics.operators import buckets, knn as nn
+from crewmetrics.plans import blocks
 from crewmetrics.sources import artifacts
 
 
@@ -168,3 +169,17 @@ def test_cheapest_flips_come_first():
         total = lambda f: sum(c for i, c in enumerate(costs) if f >> i & 1)
         found = buckets.nearest_flips(costs, 64)
         assert sorted(found) == list(range(64)) and all(total(a) <= total(b) + 1e-12 for a, b in zip(found, found[1:]))
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_a_query_goes_once_to_a_region(spark, metric, monkeypatch):
+    """Without structure all partitions are in reach: a query is copied for each region of them, in its own precision, and finds the same."""
+    corpus = np.random.default_rng(4).normal(size=(600, 24)).astype(np.float32)
+    c = vectors(spark, corpus).withColumn("vector", F.col("vector").cast("array<float>"))
+    moved = []
+    monkeypatch.setattr(nn, "GROUP_ROWS", 200)
+    monkeypatch.setattr(nn, "meet", lambda left, right, *rest: moved.append(right) or blocks.meet(left, right, *rest))
+    hits = nn.knn(c, c.withColumnRenamed("vec_id", "query_id"), key=["vec_id"], k=3, metric=metric, partition_rows=20)
+    assert as_dict(hits) == brute(corpus.astype(float), corpus.astype(float), 3, metric)
+    assert [m.schema["vector"].dataType.elementType.simpleString() for m in moved] == ["float"] * 2
+    assert moved[1].groupBy("query_id").count().agg(F.max("count")).first()[0] <= 4

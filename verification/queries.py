@@ -447,7 +447,7 @@ def chunk_ids(s, d):
 
 def _vectors(s, d):
     e = a.table(s, d, "embeddings")
-    return e.select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
+    return e.select("vec_id", F.col("embedding").alias("vector"))
 
 
 def knn_l2(s, d):
