@@ -138,3 +138,13 @@ def test_top_terms_tie_by_name(spark):
     docs = spark.createDataFrame([(1, "bb aa cc"), (2, "bb aa cc")], "id int, t string")
     vocab = tfidf.tfidf(docs, ["id"], "t", max_features=2).vocab
     assert [(r.idx, r.term) for r in vocab.collect()] == [(0, "aa"), (1, "bb")]
+
+
+def test_texts_are_weighed_in_pieces(spark, monkeypatch):
+    """Pieces of a batch give the vectors of the whole batch, texts without a known term between them included."""
+    docs = spark.createDataFrame([(i, " ".join(["red", "blue", "green"][: i % 4])) for i in range(23)], "id long, t string").coalesce(1)
+    whole, pieces = [], []
+    for size, out in ((500, whole), (3, pieces)):
+        monkeypatch.setattr(tfidf, "BATCH_TEXTS", size)
+        out += sorted(map(tuple, tfidf.tfidf(docs, ["id"], "t").vectors.collect()))
+    assert len(whole) == 23 and whole == pieces
