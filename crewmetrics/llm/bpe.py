@@ -228,6 +228,8 @@ def encode_decode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: st
     schema = T.StructType([T.StructField(key, kind), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
     def place(rows: pa.Table, found: pa.Table) -> pa.Table:
+        if not rows.num_rows:  # answers to a chunk that the second reading doesn't have
+            raise ValueError("the documents changed between two readings: write them as a table first")
         out = []
         for row in range(rows.num_rows):
             keys = rows["keys"].combine_chunks().slice(row, 1).flatten()
