@@ -7,12 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crewmetrics.llm.chunks import runs
 from crewmetrics.llm.components import components
 from crewmetrics.llm.scratch import written
 from crewmetrics.llm.words import Words, mixed, rolling, slices
@@ -22,8 +20,10 @@ CHUNKS, CHUNK = 12, 4
 SYMBOLS = CHUNKS * CHUNK
 #: symbols in which two signatures may differ: then some chunk has at most one error
 DISTANCE = 2 * CHUNKS - 1
-#: shingles in one verifying task's group or cell, and members in one block of a shared key
-GROUP_SHINGLES, BLOCK = 64_000, 1024
+#: shingles in a star's group, and members in one block of a shared key
+GROUP_SHINGLES, BLOCK = 64_000, 4096
+#: groups' shingles in a cluster that one task compares, and the shingles that a node counts for beside its own
+CLUSTER_GROUPS, NODE_SHINGLES = 16, 100
 
 _ORDERS = np.random.default_rng(20).integers(0, 2**63, SYMBOLS, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -133,60 +133,63 @@ def _agree(symbols: np.ndarray, one: np.ndarray) -> np.ndarray:
     return SYMBOLS - in_chunk.sum(axis=1), common.argmax(axis=1)
 
 
-def _close_pairs(percent: int):
-    """Pairs of a block of a shared key from different components, within the distance and a possible size.
+def _candidates(symbols: np.ndarray, size: np.ndarray, i: int, other: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of ``other`` that are of a possible size and within the distance of ``i``, and the first key that each shares with it."""
+    other = other[100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i])]
+    distance, earliest = _agree(symbols[other], symbols[i])
+    return other[distance <= DISTANCE], earliest[distance <= DISTANCE]
 
-    A pair counts in the first of its common keys only.  Pairs travel packed, one row for each pair of cells, beside a
-    row for each node that is in one.
+
+def _forest(percent: int):
+    """Trees that span the candidate pairs of a block of a shared key: pairs of different components, within the distance.
+
+    A row for each node of a tree but its smallest, so no more rows than members.
     """
 
-    def compare(table: pa.Table) -> pa.Table:
-        node, root, size, cell, part = (table[c].to_numpy() for c in ("node", "root", "n_shingles", "cell", "part"))
+    def span(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        node, root, size, part = (table[c].to_numpy() for c in ("node", "root", "n_shingles", "part"))
         first, last = table["first"][0].as_py(), table["last"][0].as_py()
         symbols = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-        place = np.flatnonzero(index_keys(symbols[:1])[0].view(np.int64) == table["key"][0].as_py())[0]
-        left, right = np.flatnonzero(part == first), np.flatnonzero(part == last)
-        pairs = [np.zeros((0, 2), np.int64)]
-        for i in left:
-            other = right[root[right] != root[i]]
+        right, tree = np.flatnonzero(part == last), np.arange(len(node))
+        for i in np.flatnonzero(part == first):
+            other = right[(root[right] != root[i]) & (tree[right] != tree[i])]
             if first == last:
-                other = other[node[other] > node[i]]
-            other = other[100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i])]
-            distance, earliest = _agree(symbols[other], symbols[i])
-            other = other[(distance <= DISTANCE) & (earliest == place)]
-            pairs.append(np.stack([np.full(len(other), i), other], axis=1))
-        pairs = np.concatenate(pairs)
-        low, high = np.minimum(*cell[pairs].T), np.maximum(*cell[pairs].T)
-        order = np.lexsort((high, low))
-        cells = np.stack([low, high], axis=1)[order]
-        edges = np.flatnonzero(np.concatenate(([True], (cells[1:] != cells[:-1]).any(axis=1), [True]))) if len(cells) else [0]
-        rows: list[tuple] = []
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            own = pairs[order[a:b]]
-            rows.append((*cells[a].tolist(), None, node[own].astype("<i8").tobytes()))
-            rows += [(*cells[a].tolist(), x, None) for x in node[np.unique(own)].tolist()]
-        columns = zip(*rows, strict=True) if rows else ([], [], [], [])
-        return pa.table([pa.array(list(x), k) for x, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["low", "high", "node", "pairs"])
-
-    return compare
+                other = other[other > i]
+            other, _ = _candidates(symbols, size, i, other, percent)
+            if len(other):
+                joined = np.unique(np.append(tree[other], tree[i]))
+                tree[np.isin(tree, joined)] = joined[0]
+        inner = np.flatnonzero(tree != np.arange(len(node)))
+        return pa.table({"a": pa.array(node[inner], pa.int64()), "b": pa.array(node[tree[inner]], pa.int64())})
+
+    return span
 
 
 def _confirmed(percent: int):
-    """Of the pairs of two cells, links on full sets: as many as join what has not been joined here."""
+    """Of the candidate pairs of a group, links on full sets: as many as join what has not been joined here.
+
+    In a group of a shared key, a pair counts if that is the first of its common keys.
+    """
 
     def verify(table: pa.Table) -> pa.Table:
-        held, packed = table.filter(pc.is_valid(table["node"])), table["pairs"].drop_null()
-        order = np.argsort(held["node"].to_numpy(), kind="stable")
-        node, sets = held["node"].to_numpy()[order], [_set(held["shingles"][int(i)]) for i in order]
-        pairs = np.searchsorted(node, np.frombuffer(b"".join(packed.to_pylist()), "<i8").reshape(-1, 2))
-        pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-        size = np.array([len(x) for x in sets])
+        table = table.sort_by("node")
+        node, part = table["node"].to_numpy(), table["part"].to_numpy()
+        first, last, key = (table[c][0].as_py() for c in ("first", "last", "key"))
+        sets = [_set(x) for x in table["shingles"]]
+        symbols, size = np.stack([signature(x) for x in sets]), np.array([len(x) for x in sets])
+        place = None if key is None else np.flatnonzero(index_keys(symbols[:1])[0].view(np.int64) == key)[0]
         begin = np.cumsum(size) - size
         _, numbers = np.unique(np.concatenate(sets), return_inverse=True)
-        marked, root, found = np.zeros(len(numbers), bool), np.arange(len(node)), []
-        for i, a, b in runs(pairs[:, 0]):
-            other = pairs[a:b, 1]
-            other = other[root[other] != root[i]]
+        root = np.unique(table["root"].to_numpy(), return_inverse=True)[1]
+        marked, found, right = np.zeros(len(numbers), bool), [], np.flatnonzero(part == last)
+        for i in np.flatnonzero(part == first):
+            other = right[root[right] != root[i]]
+            if first == last:
+                other = other[other > i]
+            other, earliest = _candidates(symbols, size, i, other, percent)
+            if place is not None:
+                other = other[earliest == place]
             if not len(other):
                 continue
             own = numbers[begin[i] : begin[i] + size[i]]
@@ -213,9 +216,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
     ``DISTANCE`` symbols share a key (two that are 80 % alike differ in more with a chance under 1 in 100,000);
     links are confirmed on full sets.  First every class is held against the smallest class of its keys, the pivot.
     Then, in keys that still hold several components, all members of different components within the distance
-    are compared, in blocks: no cap, and pairs are not formed where stars have joined a group already.  These pairs
-    stay packed: a class belongs to a cell of those with its pivot, and each pair of cells is confirmed by one task
-    that holds the sets it needs and gives back no more links than join them.
+    are found, in blocks: no cap, and no pairs are written, but trees that span them, so at most a row for each member.
+    What the trees join is a cluster.  Its sets meet once, in one task that compares all its pairs within the distance and
+    gives back no more links than join them; a cluster too large for that is compared key by key, in blocks.
 
     Null and empty texts and those without words have 0 shingles and are linked with nothing.  Rows without an id count
     as members; their component is the smallest id that there is, else null.  Rows that repeat an id are rows of
@@ -243,10 +246,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
 
     parted = sets.select("node", "shingles", F.explode("places").alias("place")).select("node", "shingles", "place.*")
     links = written(parted.groupBy("pivot", "part").applyInArrow(_stars(percent), "a long, b long"))
-    sizes = nearest.groupBy("pivot").agg(F.ceil(F.sum("n_shingles") / GROUP_SHINGLES).cast("int").alias("parts"))
-    cell = F.xxhash64("pivot", F.pmod(F.xxhash64("node"), F.col("parts")))
-    cells = nearest.join(sizes, "pivot").select("node", cell.alias("cell")).join(classes.select("node", "n_shingles", "signature"), "node")
-    rest = _rest(shared, cells, links, sets, percent)
+    rest = _rest(shared, classes, links, sets, percent)
     roots = components(links.unionByName(rest))
 
     classed = classes.select("digest", "n_shingles", "id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -274,24 +274,35 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, size: int, key: str, text: str)
     return joined.mapInArrow(shingle, schema)
 
 
-def _rest(shared: DataFrame, cells: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _rest(shared: DataFrame, classes: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between the components that the stars have left."""
     roots = components(links)
     rooted = shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).where("low < high")
     parts = F.ceil(F.col("members") / BLOCK).cast("int")
-    # the pairs of blocks that a member is in, as first <= last
-    mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    open_keys = rooted.join(several.select("key", parts.alias("parts")), "key").withColumn("part", mine)
-    blocks = open_keys.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    members = blocks.join(cells, "node").select(
-        "key", F.least("part", "with").alias("first"), F.greatest("part", "with").alias("last"), "part", "node", "root", "n_shingles", "signature", "cell"
-    )
-    met = written(members.groupBy("key", "first", "last").applyInArrow(_close_pairs(percent), "low long, high long, node long, pairs binary"))
-    wanted = met.where("node is not null").select("low", "high", "node").distinct()
-    held = wanted.join(sets.select("node", "shingles"), "node").select("low", "high", "node", "shingles", F.lit(None).cast("binary").alias("pairs"))
-    packed = met.where("node is null").select("low", "high", "node", F.lit(None).cast("binary").alias("shingles"), "pairs")
-    return written(held.unionByName(packed).groupBy("low", "high").applyInArrow(_confirmed(percent), "a long, b long"))
+    open_keys = written(rooted.join(several.select("key", parts.alias("parts")), "key"))
+    members = _in_blocks(open_keys).join(classes.select("node", "n_shingles", "signature"), "node")
+    near = members.select("key", "first", "last", "part", "node", "root", "n_shingles", "signature")
+    trees = written(near.groupBy("key", "first", "last").applyInArrow(_forest(percent), "a long, b long"))
+
+    clusters = components(trees).withColumnRenamed("root", "cluster").join(classes.select("node", F.col("n_shingles").alias("_size")), "node")
+    weight = F.sum(F.col("_size") + NODE_SHINGLES)
+    room = CLUSTER_GROUPS * GROUP_SHINGLES
+    weighed = written(clusters.join(clusters.groupBy("cluster").agg((weight > room).alias("large")), "cluster"))
+    whole = weighed.where("not large").select("node", "cluster", F.lit(None).cast("long").alias("key"), F.lit(1).alias("parts"))
+    by_key = open_keys.select("key", "node").join(weighed.where("large"), "node")
+    crowds = by_key.groupBy("cluster", "key").agg(F.ceil(weight / room).cast("int").alias("parts"), F.count("*").alias("members")).where("members > 1")
+    keyed = by_key.join(crowds, ["cluster", "key"]).select("node", "cluster", "key", "parts")
+    met = _in_blocks(whole.unionByName(keyed)).join(sets.select("node", "shingles"), "node").join(roots, "node", "left")
+    met = met.select("cluster", "key", "first", "last", "part", "node", F.coalesce("root", "node").alias("root"), "shingles")
+    return written(met.groupBy("cluster", "key", "first", "last").applyInArrow(_confirmed(percent), "a long, b long"))
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """``rows`` for each pair of blocks that they are in, ``first <= last``; ``part`` is a row's own of the ``parts``."""
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    beside = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return beside.withColumn("first", F.least("part", "with")).withColumn("last", F.greatest("part", "with")).drop("parts", "with")
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:

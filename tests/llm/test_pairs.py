@@ -167,3 +167,34 @@ def test_a_column_of_any_name_stays(shared):
     docs = shared.createDataFrame([(1, "a b c d e f", "x", 1), (2, "a b c d e f", "y", 2), (3, None, "z", 3)], "doc_id long, text string, _row string, node int")
     kept = near_dup.deduplicated(docs)
     assert sorted(tuple(r) for r in kept.collect()) == [(1, "a b c d e f", "x", 1), (3, None, "z", 3)] and kept.columns == docs.columns
+
+
+def loose(n):
+    """Texts that are near each other, almost all of them under the threshold."""
+    draw, rows = random.Random(n), []
+    for i in range(n):
+        own = [f"c{j}" for j in range(120)]
+        for j in draw.sample(range(120), 6):
+            own[j] = f"n{i}x{j}"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize("groups", [1, 16])
+def test_no_table_of_a_loose_crowd_grows_with_its_square(shared, monkeypatch, groups):
+    """Sixteen groups' room holds the crowd in one task, one compares it key by key."""
+    monkeypatch.setattr(near_dup, "GROUP_SHINGLES", 2000)
+    monkeypatch.setattr(near_dup, "CLUSTER_GROUPS", groups, raising=False)
+    write, rows = near_dup.written, {}
+
+    def counted(df, *more):
+        table = write(df, *more)
+        name = ", ".join(df.columns)
+        rows[n][name] = max(rows[n].get(name, 0), table.count())
+        return table
+
+    monkeypatch.setattr(near_dup, "written", counted)
+    for n in (40, 160):
+        rows[n] = {}
+        check_near(shared.createDataFrame(loose(n), "doc_id long, text string").repartition(3), 4)
+    assert all(many <= 6 * max(rows[40].get(name, 0), 40) for name, many in rows[160].items()), rows
