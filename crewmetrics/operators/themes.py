@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crewmetrics.functions import text as tx
 from crewmetrics.operators import tfidf
 from crewmetrics.plans.scratch import written
 from crewmetrics.schemas import has
@@ -197,9 +198,13 @@ def fit_themes(
     stop_words: tuple[str, ...] | None = None,
 ) -> tuple[Themes, DataFrame]:
     """Fit themes; returns them with the vectors they were fitted on, a written table."""
+    corpus = tfidf.survey_terms(docs, [key], text, stop_words, max_features)
+    return _fit(corpus, n_themes, max_iter, tolerance, seed)
+
+
+def _fit(corpus: tfidf.Corpus, n_themes: int, max_iter: int = 200, tolerance: float = 1e-4, seed: int = 42) -> tuple[Themes, DataFrame]:
     if not 1 <= n_themes <= MAX_THEMES:
         raise ValueError(f"n_themes must be between 1 and {MAX_THEMES}")
-    corpus = tfidf.survey_terms(docs, [key], text, stop_words, max_features)
     terms = [r.term for r in corpus.vocab.orderBy("idx").collect()]  # at most max_features rows
     if not terms:
         raise ValueError("no term occurs in two texts")
@@ -216,14 +221,21 @@ def fit_themes(
     return Themes(h, terms, corpus.vocab, losses), vecs
 
 
-def survey_themes(surveys: DataFrame, key: str, n_themes: int = 5, text: str = "free_text", **options) -> DataFrame:
+def survey_themes(
+    surveys: DataFrame, key: str, n_themes: int = 5, text: str = "free_text", max_features: int = tfidf.MAX_FEATURES,
+    stop_words: tuple[str, ...] | None = None, **options,
+) -> DataFrame:
     """Theme scores on every response; a response without text scores 0.
 
-    The responses are weighed and scored where they are: nothing is shuffled beside the fit.
+    The responses are written once with their counted terms, from which themes are fitted and all responses are weighed
+    and scored where they are: nothing is tokenised twice, and nothing is shuffled beside the fit.
     """
-    themes, _ = fit_themes(surveys, key, text, n_themes, **options)
-    how = tfidf.survey_setting(options.get("stop_words"))
-    counted = surveys.withColumn("terms", F.coalesce(tfidf.counted_terms(F.col(text), how), F.array().cast("array<struct<term:string,tf:int>>")))
+    how = tfidf.survey_setting(stop_words)
+    none = F.array().cast("array<struct<term:string,tf:int>>")
+    counted = written(surveys.withColumn("terms", F.coalesce(tfidf.counted_terms(F.col(text), how), none)))
+    spoken = counted.where(tx.not_blank(F.col(text))).select(key, "terms")
+    vocab = tfidf.vocabulary(spoken, max_features, 2)
+    themes, _ = _fit(tfidf.Corpus(vocab, tfidf.vectors(spoken, vocab, [key])), n_themes, **options)
     return themes.scores(tfidf.vectors(counted, themes.vocab, surveys.columns), surveys.columns)
 
 

@@ -93,3 +93,22 @@ def test_summary_ties_and_missing_team(spark):
     assert [tuple(r) for r in rows] == [("P", 2, "Topic 1", 0.5, 0.5, 0.5)]
     with pytest.raises(ValueError):
         themes.theme_summary(scored.select("employee_id", F.lit(1.0).alias("theme_1_score")), people, 2)
+
+
+def test_responses_are_tokenised_once(spark, tmp_path):
+    """Each text is read from the given table for one pass only: an accumulator counts the rows that pass."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [(i, f"alpha beta {'gamma delta' if i % 2 else 'epsilon zeta'} end{i % 3}") for i in range(30)] + [(30, None), (31, " ")]
+    spark.createDataFrame(rows, "response_id long, free_text string").write.parquet(str(tmp_path / "r"))
+    surveys = spark.read.parquet(str(tmp_path / "r"))
+    scored = themes.survey_themes(surveys.mapInArrow(count, surveys.schema), "response_id", 2).orderBy("response_id").collect()
+    assert seen.value == len(rows) == len(scored)
+    fitted, vecs = themes.fit_themes(surveys, "response_id", n_themes=2)
+    plain = {r.response_id: r.theme_1_score for r in fitted.scores(vecs, "response_id").collect()}
+    assert all(abs(r.theme_1_score - plain.get(r.response_id, 0.0)) < 1e-9 for r in scored)
