@@ -50,3 +50,10 @@ def test_all_labelled_rows_set_ranges_and_threshold(shared, monkeypatch):
     gains = [((scores[~good] >= c).mean() - (scores[good] >= c).mean(), -c) for c in scores if (scores[good] >= c).mean() <= quality.LOSS]
     cut = -max(gains)[1]
     assert one.threshold == pytest.approx((cut + scores[scores < cut].max()) / 2)
+
+
+def test_counts_keep_their_value_in_few_bytes():
+    for values in ([], [0, 255], [256, 1], [2**16], [2**32, 7]):
+        data = lm_scoring._narrow(np.array(values, np.uint64))
+        assert lm_scoring._wide(data).tolist() == values and len(data) <= 1 + 8 * len(values)
+    assert len(lm_scoring._narrow(np.ones(100, np.uint64))) == 101
