@@ -183,3 +183,41 @@ def test_a_query_goes_once_to_a_region(spark, metric, monkeypatch):
     assert as_dict(hits) == brute(corpus.astype(float), corpus.astype(float), 3, metric)
     assert [m.schema["vector"].dataType.elementType.simpleString() for m in moved] == ["float"] * 2
     assert moved[1].groupBy("query_id").count().agg(F.max("count")).first()[0] <= 4
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_rows_are_found_in_single_precision(metric, monkeypatch):
+    """Far from the origin, huge, tiny and with copies: which rows are near is seen in single precision, scores are exact; bounds leave rows out."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(nn, "BATCH_ROWS", 90)
+    monkeypatch.setattr(nn, "BATCH_QUERIES", 7)
+    monkeypatch.setattr(nn, "EXACT_NUMBERS", 100)
+    rng = np.random.default_rng(8)
+    plain = rng.normal(size=(400, 6))
+    plain[50:120] = plain[3]
+    for corpus in (plain, plain * 1e25, plain * 1e-25, 1e6 + plain * 1e-3 if metric == "l2" else plain):
+        table = pa.table({"vec_id": np.arange(400), "vector": corpus.tolist()})
+        best, to_matrix = nn.scorer(3, metric, ["vec_id"], 6)
+        queries = corpus[::20] * 1.0001
+        found = best(list(range(20)), queries, table.to_batches(70))
+        want = brute(corpus, queries, 3, metric)
+        got = {i: g["vec_id"].tolist() for i, g in found.groupby("query_id")}
+        assert got == {i: [v for v, _ in w] for i, w in want.items()}
+        score = found["score"].to_numpy().reshape(20, 3)
+        bounded = best(list(range(20)), queries, table.to_batches(), (score if metric == "l2" else -score)[:, 1])
+        assert {i: g["vec_id"].tolist()[:2] for i, g in bounded.groupby("query_id")} == {i: v[:2] for i, v in got.items()}
+        if corpus is plain:
+            assert len(best([0], queries[:1], table.to_batches(), np.array([-2.0]))) == 0
+
+
+def test_second_visits_are_bounded(spark, monkeypatch):
+    """What the first partitions give bounds the scores of the second visits, which send fewer rows on than k for each region."""
+    corpus = np.random.default_rng(6).normal(size=(600, 8))
+    c = vectors(spark, corpus)
+    sent, scored = [], nn.scored
+    monkeypatch.setattr(nn, "GROUP_ROWS", 60)
+    monkeypatch.setattr(nn, "scored", lambda *args: sent.append(scored(*args)) or sent[-1])
+    hits = nn.knn(c, c.withColumnRenamed("vec_id", "query_id"), key=["vec_id"], k=3, metric="l2", partition_rows=20)
+    assert as_dict(hits) == brute(corpus, corpus, 3, "l2")
+    assert sent[1].count() < 600 * 3 * 3
