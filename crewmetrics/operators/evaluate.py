@@ -161,13 +161,9 @@ def hit_at_k(hits: DataFrame, relevant: DataFrame, key: list[str], k: int) -> Da
 
     ``relevant`` holds (query_id, key...).
     """
-    found = (
-        hits.where(F.col("rank") <= k)
-        .join(relevant.select("query_id", *key), ["query_id", *key], "left_semi")
-        .groupBy("query_id")
-        .agg(F.lit(1).alias("hit"))
-    )
-    judged = relevant.groupBy("query_id").agg(F.count("*").alias("_n"))
-    return judged.join(found, "query_id", "left").agg(
-        F.count("*").alias("queries"), F.avg(F.coalesce("hit", F.lit(0))).alias("hit_rate")
+    # relevant rows are read once: they may be as dear to make as the hits
+    found = hits.where(F.col("rank") <= k).select("query_id", *key).distinct().withColumn("_hit", F.lit(1))
+    judged = relevant.select("query_id", *key).join(found, ["query_id", *key], "left")
+    return judged.groupBy("query_id").agg(F.max(F.coalesce("_hit", F.lit(0))).alias("hit")).agg(
+        F.count("*").alias("queries"), F.avg("hit").alias("hit_rate")
     )

@@ -221,3 +221,16 @@ def test_second_visits_are_bounded(spark, monkeypatch):
     hits = nn.knn(c, c.withColumnRenamed("vec_id", "query_id"), key=["vec_id"], k=3, metric="l2", partition_rows=20)
     assert as_dict(hits) == brute(corpus, corpus, 3, "l2")
     assert sent[1].count() < 600 * 3 * 3
+
+
+def test_relevant_rows_are_made_once(spark):
+    from crewmetrics.operators import evaluate
+    from tests.test_plans import plan
+
+    c = vectors(spark, np.random.default_rng(7).normal(size=(30, 4)))
+    asked = c.withColumnRenamed("vec_id", "query_id")
+    hits = nn.knn(c, asked, key=["vec_id"], k=4, metric="l2")
+    relevant = nn.knn(c, asked, key=["vec_id"], k=2).where("rank = 2")
+    made = evaluate.hit_at_k(hits, relevant, ["vec_id"], 4)
+    assert plan(made).count("FlatMapCoGroupsInArrow") == 2
+    assert made.first().queries == 30
